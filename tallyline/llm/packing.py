@@ -236,6 +236,8 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int =
     """Patterns of lengths and how many bins take each, for all pieces of the histogram."""
     best = best_fit(histogram, capacity)
     least = lower_bound(histogram, capacity)
+    dive = completion(histogram, capacity, sum(histogram.values()) + 2, len(histogram) * 64)  # the first leaf
+    best = min(filter(None, (best, dive)), key=lambda found: sum(found.values()))
     while (used := sum(best.values())) > least:
         better = completion(histogram, capacity, used, nodes)
         if better is None:
