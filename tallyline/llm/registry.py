@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, simhash
+from . import decontaminate, packing, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": packing.op1_packing,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op8_simhash": simhash.op8_simhash,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
