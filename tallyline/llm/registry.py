@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, simhash, toxicity
+from . import decontaminate, packing, pii, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op6_pii": pii.op6_pii,
         "op8_simhash": simhash.op8_simhash,
         "op10_toxicity": toxicity.op10_toxicity,
     }
