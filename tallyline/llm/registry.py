@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, simhash, toxicity
+from . import decontaminate, licenses, packing, pii, simhash, toxicity, urlfilter, vptree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_neighbours": vptree.op3_neighbours,
         "op6_pii": pii.op6_pii,
+        "op7_urlfilter": urlfilter.op7_urlfilter,
         "op8_simhash": simhash.op8_simhash,
+        "op9_licenses": licenses.op9_licenses,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
@@ -22,4 +25,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.OP2_SQL,
+        "op3_neighbours": vptree.OP3_SQL,
+        "op7_urlfilter": urlfilter.OP7_SQL,
     }
