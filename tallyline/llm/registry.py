@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, packing, pii, simhash, toxicity, urlfilter, vptree
+from . import decontaminate, html, langid, licenses, packing, pii, simhash, toxicity, urlfilter, vptree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": packing.op1_packing,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_neighbours": vptree.op3_neighbours,
+        "op4_langid": langid.op4_langid,
+        "op5_html": html.op5_html,
         "op6_pii": pii.op6_pii,
         "op7_urlfilter": urlfilter.op7_urlfilter,
         "op8_simhash": simhash.op8_simhash,
