@@ -1,9 +1,10 @@
 """Toxicity by a convolutional text classifier: hashed word embeddings, several filter widths, max pooling.
 
-The network is trained in numpy on a bounded sample of labelled rows (``SAMPLE`` rows of each label at most, texts of at
-most ``TRAIN_WORDS`` words) and applied to every whole text. A filter of width w over words is a sum of w rows of
-per-word projections, so scoring gathers rows of small tables and keeps running maxima; texts are handled in chunks of
-``CHUNK`` words, whatever their length.
+A word's vector is the sum of the hashed vectors of the word and of its first 4 to 7 bytes, so that inflected and
+compound forms share what is learned. The network is trained in numpy on a bounded sample of labelled rows (``SAMPLE``
+rows of each label at most, texts of at most ``TRAIN_WORDS`` words) and applied to every whole text. The filters are
+applied to each word of a worker's vocabulary once; a filter of width w over words is then a sum of w table rows. Texts
+are handled in chunks of ``CHUNK`` words, whatever their length, with running maxima.
 
 A row's threshold depends on the language that its own function words show; it is calibrated on held-back training rows
 and moved to a score of 0.5. Labels, lang, source and doc_id are no input of a score.
@@ -15,6 +16,7 @@ in the training rows every score is the share of toxic ones (0 if none); repeate
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, per_worker, read_table
+from .common import crc32_mod, per_worker, read_table, written
 
 BITS = 17
 DIM = 16
 FILTERS = 16
 WIDTHS = (1, 2, 3)
+PREFIXES = (4, 5, 6, 7)
 SAMPLE = 4000
 TRAIN_WORDS = 8192
-CHUNK = 200_000
-PAD = (1 << BITS) - 1  # the id of no word
+CHUNK = 100_000
+NONE = (1 << BITS) - 1  # the id of no feature, whose vector stays zero
 
 #: Common function words that tell four languages apart.
 FUNCTION_WORDS = {
@@ -41,6 +44,7 @@ FUNCTION_WORDS = {
     "fr": "le les des et est une pour dans avec sur du qui pas au ce il sont plus par aux ou mais",
     "es": "el los las y una su es con por del al como más pero sus se lo para este esta ha",
 }
+LANGUAGES = len(FUNCTION_WORDS) + 1  # the first is: none shown
 
 
 def _normal_table() -> bytes:
@@ -55,66 +59,77 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(NORMAL).split()
 
 
-class Ids(dict):
-    """Word to hashed id, remembered for frequent use and emptied before it grows large."""
+def features_of(word: bytes) -> list[int]:
+    """The hashed ids of a word and of its beginnings."""
+    return [zlib.crc32(word) % NONE, *(zlib.crc32(b"%d %s" % (n, word[:n])) % NONE if len(word) > n else NONE for n in PREFIXES)]
 
-    def __missing__(self, word: bytes) -> int:
-        import zlib
 
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = found = zlib.crc32(word) % PAD
-        return found
+def _votes() -> dict[bytes, int]:
+    owners: dict[bytes, set[int]] = {}
+    for k, words in enumerate(FUNCTION_WORDS.values(), start=1):
+        for w in words.split():
+            owners.setdefault(w.encode(), set()).add(k)
+    return {w: next(iter(who)) for w, who in owners.items() if len(who) == 1}
 
 
-def ids_of(text: str, ids: Ids) -> np.ndarray:
-    words = words_of(text)
-    return np.fromiter(map(ids.__getitem__, words), dtype=np.int32, count=len(words))
+class Vocabulary(dict):
+    """Word to number, with each number's features and language vote; number 0 is no word."""
 
+    def __init__(self) -> None:
+        super().__init__()
+        self.known = _votes()
+        self.features = [[NONE] * (1 + len(PREFIXES))]
+        self.votes = [0]
 
-def language_votes() -> np.ndarray:
-    """For each word id the language it votes for: 0 for none, else 1 and up in the order of FUNCTION_WORDS."""
-    out, ids = np.zeros(1 << BITS, dtype=np.int8), Ids()
-    owners: dict[int, set[int]] = {}
-    for k, words in enumerate(FUNCTION_WORDS.values(), start=1):
-        for w in words.split():
-            owners.setdefault(ids[w.encode()], set()).add(k)
-    for i, who in owners.items():
-        if len(who) == 1:
-            out[i] = next(iter(who))
-    return out
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.votes)
+        self.features.append(features_of(word))
+        self.votes.append(self.known.get(word, 0))
+        return n
+
+    def encode(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
 
 
 @dataclass
 class Model:
-    embedding: np.ndarray  # (ids, DIM); the row of PAD is zero
+    embedding: np.ndarray  # (ids, DIM)
     filters: list[np.ndarray]  # a width's (width, DIM, FILTERS)
     bias: list[np.ndarray]
     out: np.ndarray
     out_bias: float
-    thresholds: np.ndarray  # logits, by language; 0: no language shown
-
-    def tables(self) -> list[list[np.ndarray]]:
-        return [[(self.embedding @ f[j]).astype(np.float32) for j in range(len(f))] for f in self.filters]
-
-
-def pooled(ids: np.ndarray, starts: np.ndarray, tables: list[list[np.ndarray]], bias: list[np.ndarray]) -> np.ndarray:
-    """Max-pooled filter outputs of each text; ``ids`` holds the texts one by one, each with trailing PADs."""
-    parts = []
-    for rows, b in zip(tables, bias, strict=True):
-        conv = rows[0][ids]
-        for j in range(1, len(rows)):
-            conv[:-j] += rows[j][ids[j:]]
+    thresholds: np.ndarray  # logits, by language
+
+    def projected(self, features: np.ndarray) -> np.ndarray:
+        """What each word adds to each filter at each place of the window: (words, places of all widths * FILTERS)."""
+        flat = np.concatenate([f[j] for f in self.filters for j in range(len(f))], axis=1)
+        return self.embedding[features].sum(axis=1) @ flat
+
+
+def pooled(numbers: np.ndarray, starts: np.ndarray, table: np.ndarray, bias: list[np.ndarray]) -> np.ndarray:
+    """Max-pooled filter outputs of each text; ``numbers`` holds the texts one by one, each with trailing zeros."""
+    parts, at = [], 0
+    for b, width in zip(bias, WIDTHS, strict=True):
+        conv = table[numbers, at : at + FILTERS]
+        for j in range(1, width):
+            conv[:-j] += table[numbers[j:], at + j * FILTERS : at + (j + 1) * FILTERS]
+        at += width * FILTERS
         parts.append(np.maximum(np.maximum.reduceat(conv, starts, axis=0) + b, 0))
     return np.concatenate(parts, axis=1)
 
 
-def logits_of(texts: list[np.ndarray], model: Model, tables: list[list[np.ndarray]], votes: np.ndarray) -> np.ndarray:
-    """The logit of each text (as ids), less the threshold of the language that it shows."""
+def languages_of(texts: list[np.ndarray], votes: np.ndarray) -> np.ndarray:
+    """The language that most of a text's function words vote for, 0 without any."""
+    tally = np.array([np.bincount(votes[t], minlength=LANGUAGES) for t in texts], dtype=np.int64).reshape(len(texts), LANGUAGES)
+    tally[:, 0] = 0
+    return np.where(tally.max(axis=1, initial=0) > 0, tally.argmax(axis=1), 0)
+
+
+def logits_of(texts: list[np.ndarray], model: Model, table: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    """The logit of each text (as word numbers), less the threshold of the language that it shows."""
     wide = max(WIDTHS) - 1
     features = np.zeros((len(texts), model.out.shape[0]), dtype=np.float32)
-    tally = np.zeros((len(texts), len(FUNCTION_WORDS) + 1), dtype=np.int64)
-    pad = np.full(wide, PAD, dtype=np.int32)
+    pad = np.zeros(wide, dtype=np.int32)
     pieces: list[tuple[int, np.ndarray]] = []
     held = 0
 
@@ -123,73 +138,72 @@ def logits_of(texts: list[np.ndarray], model: Model, tables: list[list[np.ndarra
         if pieces:
             joined = np.concatenate([x for _, p in pieces for x in (p, pad)] + [pad])
             starts = np.cumsum([0, *(len(p) + wide for _, p in pieces[:-1])])
-            rows = np.array([i for i, _ in pieces])
-            np.maximum.at(features, rows, pooled(joined, starts, tables, model.bias))
+            np.maximum.at(features, np.array([i for i, _ in pieces]), pooled(joined, starts, table, model.bias))
             pieces.clear()
             held = 0
 
-    for i, ids in enumerate(texts):
-        tally[i] = np.bincount(votes[ids], minlength=tally.shape[1])
-        for at in range(0, max(1, len(ids)), CHUNK):
-            part = ids[at : at + CHUNK + wide]  # overlapping, so that no window is lost
+    for i, numbers in enumerate(texts):
+        for at in range(0, max(1, len(numbers)), CHUNK):
+            part = numbers[at : at + CHUNK + wide]  # overlapping, so that no window is lost
             pieces.append((i, part))
             held += len(part) + wide
             if held >= CHUNK:
                 flush()
     flush()
-    tally[:, 0] = 0
-    language = np.where(tally.max(axis=1) > 0, tally.argmax(axis=1), 0)
-    return features @ model.out + model.out_bias - model.thresholds[language]
+    return features @ model.out + model.out_bias - model.thresholds[languages_of(texts, votes)]
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int = 14, batch: int = 32, rate: float = 0.01) -> Model:
-    """Adam on cross-entropy with word dropout; gradients of max pooling reach only the winning windows.
+def train(texts: list[np.ndarray], features: np.ndarray, labels: np.ndarray, seed: int = 7, epochs: int = 8, batch: int = 32, rate: float = 0.01) -> Model:
+    """Adam on cross-entropy with dropout of words and of whole-word features; max pooling passes gradients to its
+    winning windows only.
 
-    The first embedding coordinate starts as the smoothed log odds of a word's presence in toxic texts.
+    The first embedding coordinate starts as the smoothed log odds of a feature's presence in toxic texts.
     """
     rng = np.random.default_rng(seed)
+    n1, n0 = int(labels.sum()), int((1 - labels).sum())
+    p1 = n1 / (n1 + n0)
     toxic, clean = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for ids, y in zip(texts, labels, strict=True):
-        (toxic if y else clean)[np.unique(ids)] += 1
-    n1, n0 = max(1, labels.sum()), max(1, (1 - labels).sum())
-    odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
-    sure = (toxic + clean) / (toxic + clean + 2.0)
-    embedding = rng.normal(0, 0.05, (1 << BITS, DIM)).astype(np.float32)
-    embedding[:, 0] = np.clip(odds * sure, -4, 4)
-    embedding[PAD] = 0
+    for numbers, y in zip(texts, labels, strict=True):
+        (toxic if y else clean)[np.unique(features[np.unique(numbers)])] += 1
+    odds = np.log((toxic + 5 * p1) / (clean + 5 * (1 - p1))) - np.log(p1 / (1 - p1))
+    embedding = rng.normal(0, 0.02, (1 << BITS, DIM)).astype(np.float32)
+    embedding[:, 0] = np.clip(odds, -1, 5) / 2
+    embedding[NONE] = 0
     filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     for f in filters:
         f[0, 0, : FILTERS // 2] += 1
-    bias = [np.zeros(FILTERS, dtype=np.float32) for _ in WIDTHS]
+    bias = [np.full(FILTERS, -1.0, dtype=np.float32) for _ in WIDTHS]
     out = rng.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32)
     for k in range(len(WIDTHS)):
         out[k * FILTERS : k * FILTERS + FILTERS // 2] += 0.2
-    model = Model(embedding, filters, bias, out, float(np.log(n1 / n0)) - 1, np.zeros(len(FUNCTION_WORDS) + 1))
+    model = Model(embedding, filters, bias, out, -3.0, np.zeros(LANGUAGES))
 
     params = [*filters, *bias, out]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    squares, out_square, wide, step = np.full(1 << BITS, 1e-8, dtype=np.float32), 1e-8, max(WIDTHS) - 1, 0
-    pad = np.full(wide, PAD, dtype=np.int32)
+    squares, out_square, wide, step = np.full(1 << BITS, 1e-6, dtype=np.float32), 1e-6, max(WIDTHS) - 1, 0
+    pad = np.zeros(wide, dtype=np.int32)
     weight = np.where(labels == 1, np.sqrt(n0 / n1), 1.0)
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
             some = [t[rng.random(len(t)) > 0.1] for t in (texts[i] for i in rows)]
-            ids = np.concatenate([x for t in some for x in (t, pad)] + [pad])
+            numbers = np.concatenate([x for t in some for x in (t, pad)] + [pad])
             lengths = np.array([len(t) + wide for t in some])
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             owner = np.repeat(np.arange(len(some)), lengths)
-            vectors = model.embedding[ids]
+            words, place = np.unique(numbers, return_inverse=True)
+            mine = features[words]
+            mine[rng.random(len(mine)) < 0.3, 0] = NONE
+            vectors = model.embedding[mine].sum(axis=1)
             hidden, winners = [], []
             for f, b in zip(filters, bias, strict=True):
-                conv = vectors @ f[0]
+                conv = (vectors @ f[0])[place]
                 for j in range(1, len(f)):
-                    conv[:-j] += vectors[j:] @ f[j]
+                    conv[:-j] += (vectors @ f[j])[place[j:]]
                 conv = conv[: len(owner)]
                 top = np.maximum.reduceat(conv, starts, axis=0)
-                where = conv == top[owner]
-                spot = np.where(where, np.arange(len(owner))[:, None], len(owner))
+                spot = np.where(conv == top[owner], np.arange(len(owner))[:, None], len(owner))
                 winners.append(np.minimum.reduceat(spot, starts, axis=0))
                 hidden.append(top + b)
             x = np.concatenate(hidden, axis=1)
@@ -204,10 +218,9 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: in
                 d = dx[:, k * FILTERS : (k + 1) * FILTERS]
                 g = np.zeros_like(f)
                 for j in range(len(f)):
-                    spots = winners[k] + j
-                    for c in range(FILTERS):
-                        g[j, :, c] = vectors[spots[:, c]].T @ d[:, c]
-                    touched.append(ids[spots].ravel())
+                    spots = place[winners[k] + j]
+                    g[j] = np.einsum("bcd,bc->dc", vectors[spots], d)
+                    touched.append(spots.ravel())
                     pulls.append((d[:, :, None] * f[j].T[None]).reshape(-1, DIM))
                 grads_f.append(g + 1e-4 * f)
                 grads_b.append(d.sum(axis=0))
@@ -218,12 +231,15 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: in
                 p_ -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             out_square += float(dz.sum()) ** 2
             model.out_bias -= rate * 5 * float(dz.sum()) / np.sqrt(out_square)
-            who, inverse = np.unique(np.concatenate(touched), return_inverse=True)
+            word_pull = np.zeros((len(words), DIM), dtype=np.float32)
+            np.add.at(word_pull, np.concatenate(touched), np.concatenate(pulls))
+            moved = np.flatnonzero(np.abs(word_pull).sum(axis=1) > 0)
+            who, inverse = np.unique(mine[moved], return_inverse=True)
             pull = np.zeros((len(who), DIM), dtype=np.float32)
-            np.add.at(pull, inverse, np.concatenate(pulls))
-            pull[who == PAD] = 0
+            np.add.at(pull, inverse.ravel(), np.repeat(word_pull[moved], mine.shape[1], axis=0))
+            pull[who == NONE] = 0
             squares[who] += (pull * pull).mean(axis=1)
-            model.embedding[who] -= (rate * 2) * pull / np.sqrt(squares[who])[:, None]
+            model.embedding[who] -= rate * pull / np.sqrt(squares[who])[:, None]
     return model
 
 
@@ -239,20 +255,18 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
     return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k] - 0.5)
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray) -> Model:
+def fit(texts: list[np.ndarray], features: np.ndarray, votes: np.ndarray, labels: np.ndarray) -> Model:
     """Trains on four fifths, calibrates each language's threshold on the rest, then trains on all."""
-    votes = language_votes()
     fold = np.arange(len(texts)) % 5 == 0
-    part = train([t for t, f in zip(texts, fold, strict=True) if not f], labels[~fold])
+    if labels[~fold].min() == labels[~fold].max() or labels[fold].min() == labels[fold].max():
+        return train(texts, features, labels)
+    part = train([t for t, f in zip(texts, fold, strict=True) if not f], features, labels[~fold])
     held, y = [t for t, f in zip(texts, fold, strict=True) if f], labels[fold]
-    z = logits_of(held, part, part.tables(), votes)
-    tally = np.array([np.bincount(votes[t], minlength=len(FUNCTION_WORDS) + 1) for t in held]).reshape(len(held), -1)
-    if len(held):
-        tally[:, 0] = 0
-    shown = np.where(tally.max(axis=1) > 0, tally.argmax(axis=1), 0) if len(held) else np.zeros(0)
-    model = train(texts, labels)
+    z = logits_of(held, part, part.projected(features), votes)
+    shown = languages_of(held, votes)
+    model = train(texts, features, labels)
     overall = best_threshold(z, y)
-    for k in range(len(FUNCTION_WORDS) + 1):
+    for k in range(LANGUAGES):
         mine = shown == k
         n = min(int((y[mine] == 1).sum()), int((y[mine] == 0).sum()))
         model.thresholds[k] = (n * best_threshold(z[mine], y[mine]) + 20 * overall) / (n + 20) if n else overall
@@ -266,7 +280,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, keep: F.Column, sample: in
     share = F.lit(0)
     for label, n in counts.items():
         share = F.when(F.col("_toxic") == label, F.lit(int(min(1.0, sample / n) * (1 << 30)))).otherwise(share)
-    chosen = told.filter(F.pmod(F.xxhash64("_doc", F.lit(11)), F.lit(1 << 30)) < share)
+    # about 2 * sample ids at most, by the shares: small enough to send to every executor, so that no text is shuffled
+    chosen = F.broadcast(written(told.filter(F.pmod(F.xxhash64("_doc", F.lit(11)), F.lit(1 << 30)) < share), "toxicity-sample"))
     return docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_doc")).filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_toxic").alias("toxic"))
 
 
@@ -274,26 +289,45 @@ def trained(docs: DataFrame, labels: DataFrame, keep: F.Column, sample: int = SA
     """The fitted model, or the share of toxic rows where one label is missing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = per_worker("toxicity ids", Ids)
         for batch in batches:
-            found = [ids_of(t.as_py(), kept) for t in batch.column(1)]
+            found = [words_of(t.as_py()) for t in batch.column(1)]
             mask = pa.array([len(f) <= TRAIN_WORDS for f in found])
-            raw = pa.array([f.tobytes() if len(f) <= TRAIN_WORDS else b"" for f in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), raw, batch.column(2)], ["doc_id", "ids", "toxic"]).filter(mask)
+            raw = pa.array([b" ".join(f) if len(f) <= TRAIN_WORDS else b"" for f in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), raw, batch.column(2)], ["doc_id", "words", "toxic"]).filter(mask)
 
-    rows = training_rows(docs, labels, keep, sample).mapInArrow(run, "doc_id long, ids binary, toxic int").toPandas()
-    rows["at"] = [hash_order(int(d)) for d in rows["doc_id"]]
-    rows = rows.sort_values(["at", "doc_id"], kind="stable")
+    rows = training_rows(docs, labels, keep, sample).mapInArrow(run, "doc_id long, words binary, toxic int").toPandas()
+    rows["at"] = [zlib.crc32(b"order %d" % d) for d in rows["doc_id"]]
+    rows = rows.sort_values(["at", "doc_id", "words"], kind="stable")
     y = rows["toxic"].to_numpy(dtype=np.int64)
     if len(y) == 0 or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
-    return fit([np.frombuffer(b, dtype=np.int32) for b in rows["ids"]], y)
+    vocabulary = Vocabulary()
+    texts = [vocabulary.encode(w.split()) for w in rows["words"]]
+    return fit(texts, np.array(vocabulary.features, dtype=np.int32), np.array(vocabulary.votes, dtype=np.int8), y)
 
 
-def hash_order(doc: int) -> int:
-    import zlib
+class Scorer:
+    """A worker's vocabulary and table for a model; both start anew when the vocabulary has grown large."""
 
-    return zlib.crc32(b"order %d" % doc)
+    LARGEST = 100_000
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.vocabulary = Vocabulary()
+        self.table = np.zeros((0, sum(WIDTHS) * FILTERS), dtype=np.float32)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if len(self.vocabulary) > self.LARGEST:
+            self.clear()
+        numbers = [self.vocabulary.encode(words_of(t or "")) for t in texts]
+        new = self.vocabulary.features[len(self.table) :]
+        if new:
+            self.table = np.concatenate([self.table, self.model.projected(np.array(new, dtype=np.int32))])
+        z = logits_of(numbers, self.model, self.table, np.array(self.vocabulary.votes, dtype=np.int8))
+        return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
@@ -303,13 +337,11 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
     kept, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # a fixed size: 2**BITS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = per_worker("toxicity ids", Ids)
-        tables = per_worker(f"toxicity tables {name}", kept.value.tables)
-        votes = per_worker("toxicity votes", language_votes)
+        scorer = per_worker(f"toxicity {name}", lambda: Scorer(kept.value))
         for batch in batches:
-            z = logits_of([ids_of(t.as_py() or "", ids) for t in batch.column(1)], kept.value, tables, votes)
-            p = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(scorer.scores(some.column(1).to_pylist()))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
