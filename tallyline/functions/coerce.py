@@ -6,40 +6,51 @@ else 0. Two values compare as numbers if both are, else as text. All functions a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMERIC = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
-_PREFIX = r"^[+-]?(\d+\.?\d*|\.\d+)"
+_MANTISSA = r"(?:[0-9]+\.?[0-9]*|\.[0-9]+)"
+_NUMERIC = rf"(?iU)^\s*[+-]?(?:{_MANTISSA}(?:e[+-]?[0-9]+)?|inf|infinity|nan)\s*\z"
+#: All of a number, or its leading digits: an exponent or a name counts only if nothing follows.
+_LEADING = rf"(?iU)^\s*([+-]?(?:{_MANTISSA}(?:e[+-]?[0-9]+(?=\s*\z))?|(?:infinity|inf|nan)(?=\s*\z)))"
 _SPACE = r"(?U)^\s+|\s+$"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``; a long expression is evaluated once instead of wherever the body uses it."""
+    if len(str(value)) < 120:
+        return body(value)
+    return F.transform(F.array(value), body)[0]
+
+
 def trim(s: Column) -> Column:
     """Without white space (of any kind) at both ends."""
     return F.regexp_replace(s, _SPACE, "")
 
 
 def looks_numeric(s: Column) -> Column:
-    return trim(s).rlike(_NUMERIC)
+    return s.rlike(_NUMERIC)
 
 
 def to_number(s: Column) -> Column:
-    """The number that a text stands for; null counts as empty."""
-    t = trim(F.coalesce(s, F.lit("")))
-    whole = F.when(t.rlike(_NUMERIC), t.try_cast("double"))
-    return F.coalesce(whole, F.nullif(F.regexp_extract(t, _PREFIX, 0), F.lit("")).try_cast("double"), F.lit(0.0))
+    """The number that a text stands for; null counts as empty. One pass of one pattern."""
+    return F.coalesce(F.regexp_extract(s, _LEADING, 1).try_cast("double"), F.lit(0.0))
 
 
 def number_text(n: Column) -> Column:
     """A number as printed: integers plain, others with at most six decimals."""
-    n = n.cast("double")
+    return once(n.cast("double"), _number_text)
+
+
+def _number_text(n: Column) -> Column:
     short = F.regexp_replace(F.format_string("%.6f", n), r"\.?0+$", "")
     return (
-        F.when(F.isnan(n), "nan")
+        F.when((n == F.floor(n)) & (F.abs(n) < 9.2e18), n.try_cast("bigint").cast("string"))
+        .when(F.isnan(n), "nan")
         .when(n == float("inf"), "inf")
         .when(n == float("-inf"), "-inf")
-        .when((n == F.floor(n)) & (F.abs(n) < 9.2e18), n.try_cast("bigint").cast("string"))
-        .when(short == "-0", "-0")
         .otherwise(short)
     )
 
@@ -52,18 +63,18 @@ def truthy(value: Column, numeric: bool = False) -> Column:
 def compare(op: str, a: Column, b: Column) -> Column:
     """``a op b`` for texts: as numbers if both look like numbers, else byte-wise."""
     ops = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y, "==": lambda x, y: x == y, "!=": lambda x, y: x != y}
-    both = looks_numeric(a) & looks_numeric(b)
-    return F.when(both, ops[op](to_number(a), to_number(b))).otherwise(ops[op](a, b))
+    test = lambda x, y: F.when(looks_numeric(x) & looks_numeric(y), ops[op](to_number(x), to_number(y))).otherwise(ops[op](x, y))
+    return once(a, lambda x: once(b, lambda y: test(x, y)))
 
 
 def divide(a: Column, b: Column) -> Column:
     """a / b, 0 if b is 0."""
-    return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / F.when(b != 0, b))
+    return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.when(a.isNotNull() & b.isNotNull(), F.lit(0.0)))
 
 
 def modulo(a: Column, b: Column) -> Column:
     """The remainder with the sign of a, 0 if b is 0."""
-    return F.when(b == 0, F.lit(0.0)).otherwise(a % F.when(b != 0, b))
+    return F.coalesce(F.try_mod(a, b), F.when(a.isNotNull() & b.isNotNull(), F.lit(0.0)))
 
 
 def or_default(a: Column, b: Column) -> Column:

@@ -1,4 +1,5 @@
-"""printf formats: a constant one is compiled to Columns, so rows never leave the JVM; others run as C does in pandas."""
+"""printf formats: a constant one is compiled to Columns, so rows never leave the JVM; %e, %g and widths that are
+arguments run in pandas batches."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .coerce import to_number
+from .coerce import once, to_number
 
 SPEC = re.compile(r"%(?P<flags>[-+ 0#]*)(?P<width>\*|\d+)?(?:\.(?P<precision>\*|\d*))?(?P<kind>[diouxXeEfFgGsc%])")
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\", '"': '"', "/": "/", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
@@ -49,8 +50,8 @@ def general(number: float, precision: int | None, alternate: bool = False, upper
     return f"%{'#' if alternate else ''}.{6 if precision is None else precision}{'G' if upper else 'g'}" % number
 
 
-def sprintf(fmt: str, values: list[Any], number=float) -> str:  # noqa: ANN001
-    """C's conversions for Python values; missing ones are empty or 0. ``number`` coerces a value."""
+def sprintf(fmt: str, values: list[Any], number=float, text=str) -> str:  # noqa: ANN001
+    """C's conversions for Python values; missing ones are empty or 0. ``number`` and ``text`` coerce a value."""
     values, out, k = list(values), [], 0
 
     def take() -> Any:
@@ -69,11 +70,11 @@ def sprintf(fmt: str, values: list[Any], number=float) -> str:  # noqa: ANN001
             flags, width = flags + "-", -width
         spec = f"%{flags}{'' if width is None else width}{'' if precision is None or precision < 0 else f'.{precision}'}"
         if p.kind == "s":
-            out.append(spec.replace("0", "", 1) % str(value) if flags.startswith("0") else f"{spec}s" % str(value))
+            out.append(f"{spec.replace('0', '', 1) if flags.startswith('0') else spec}s" % text(value))
         elif p.kind == "c":
             n = value if isinstance(value, (int, float)) else None
-            text = chr(int(n)) if n else str(value)[:1]
-            out.append(f"%{'-' if '-' in flags else ''}{'' if width is None else width}s" % text)
+            shown = chr(int(n)) if n else text(value)[:1]
+            out.append(f"%{'-' if '-' in flags else ''}{'' if width is None else width}s" % shown)
         else:
             n = number(value)
             if n != n or n in (float("inf"), float("-inf")):
@@ -88,11 +89,51 @@ def sprintf(fmt: str, values: list[Any], number=float) -> str:  # noqa: ANN001
     return "".join(out)
 
 
+def fixed(x: Column, precision: int) -> Column:
+    """|x| with ``precision`` decimals, rounded by its exact binary value (ties to even), as C does.
+
+    The fraction is split at 26 bits, so that both parts times 10**precision are exact; the formatter of the JVM rounds
+    the shortest decimal text instead, which differs for values such as 1382.85.
+    """
+    x, power = F.abs(x), float(10**precision)
+    fraction = x - F.floor(x)
+    high = F.floor(fraction * float(1 << 26)) / float(1 << 26)
+    low = (fraction - high) * power
+    whole = F.floor(high * power)
+    over = high * power - whole - 0.5  # exact; the rest beyond it is low
+    up = F.when(over > -low, 1).when(over == -low, (F.floor(x) if precision == 0 else whole) % 2).otherwise(0)
+    digits = whole + up
+    body = (F.floor(x) + F.when(digits >= int(power), 1).otherwise(0)).cast("string")
+    if precision:
+        body = F.concat(body, F.lit("."), F.lpad((digits % int(power)).cast("string"), precision, "0"))
+    return F.when(x >= float(1 << 53), F.format_string(f"%.{precision}f", x)).otherwise(body)
+
+
+def _decimal(x: Column, flags: str, width: int, precision: int) -> Column:
+    return once(x, lambda v: _decimal_of(v, flags, width, precision))
+
+
+def _decimal_of(x: Column, flags: str, width: int, precision: int) -> Column:
+    if precision > 8:
+        body = F.format_string(f"%.{precision}f", F.abs(x))
+    else:
+        body = fixed(F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x), precision)
+    sign = F.when((x < 0), "-").otherwise("+" if "+" in flags else " " if " " in flags else "")
+    odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    padded = F.concat(sign, body)
+    if width and "-" not in flags and "0" in flags:
+        zeros = F.repeat(F.lit("0"), F.greatest(F.lit(width) - F.length(padded), F.lit(0)))
+        return F.when(odd.isNull(), F.concat(sign, zeros, body)).otherwise(F.lpad(odd, width, " "))
+    text = F.coalesce(odd, padded)
+    spaces = F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.length(text), F.lit(0)))
+    return F.concat(text, spaces) if "-" in flags else F.concat(spaces, text)
+
+
 def format_columns(fmt: str, *args: Column, text: tuple[bool, ...] | None = None) -> Column:
     """A constant format as one Column. ``text`` tells which arguments are texts (numbers are coerced from them)."""
     pieces, rest, out = parse(unescape(fmt)), list(args), []
     is_text = list(text or [False] * len(args))
-    if any(p.width == "*" or p.precision == "*" or p.kind in ("g", "G") for p in pieces):
+    if any(p.width == "*" or p.precision == "*" or p.kind in ("e", "E", "g", "G") for p in pieces):
         return format_rows(fmt, *args)
     for p in pieces:
         if not p.kind:
@@ -113,13 +154,12 @@ def format_columns(fmt: str, *args: Column, text: tuple[bool, ...] | None = None
         elif p.kind in "oxX":
             out.append(F.format_string(f"%{p.flags.replace('+', '').replace(' ', '')}{width}{p.kind}", number.cast("bigint")))
         else:
-            precision = 6 if p.precision is None else p.precision
-            out.append(F.format_string(f"%{p.flags}{width}.{precision}{'E' if p.kind == 'E' else 'e' if p.kind == 'e' else 'f'}", number))
+            out.append(_decimal(number, p.flags, int(width or 0), 6 if p.precision is None else p.precision))
     return F.concat(*out) if out else F.lit("")
 
 
 def format_rows(fmt: str, *args: Column) -> Column:
-    """Any format, in pandas batches: for %g and widths that are arguments."""
+    """Any format, in pandas batches: for %e, %g and widths that are arguments."""
     plain = unescape(fmt)
 
     @F.pandas_udf("string")

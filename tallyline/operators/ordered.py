@@ -82,10 +82,10 @@ class Ordered:
 
     def first_seen(self, *keys: str) -> DataFrame:
         """The first row of each key."""
-        first = self.rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(self.order).alias("_first"))
+        first = self.rows.groupBy(*[F.col(k).alias(f"_first_key{i}") for i, k in enumerate(keys)]).agg(F.min(self.order).alias("_first"))
         on = F.col(self.order) == F.col("_first")
         for i, k in enumerate(keys):
-            on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+            on = on & F.col(k).eqNullSafe(F.col(f"_first_key{i}"))
         return self.rows.join(first, on, "left_semi")
 
     def running_distinct(self, key: str, name: str) -> DataFrame:

@@ -1 +1 @@
-
+"""Structured Streaming: record programs over unbounded input."""
