@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 
 def integer(x: Column) -> Column:
-    """Towards zero; beyond 64 bits the double itself."""
-    whole = F.signum(x) * F.floor(F.abs(x))
-    return F.coalesce(x.try_cast("bigint").cast("double"), whole)
+    """Towards zero; from 2**53 on doubles are whole already."""
+    return F.when(F.abs(x) < float(1 << 53), F.signum(x) * F.floor(F.abs(x))).otherwise(x)
 
 
 def rounded(x: Column) -> Column:
     """Half away from zero."""
-    return F.signum(x) * F.floor(F.abs(x) + 0.5)
+    return F.when(F.abs(x) < float(1 << 52), F.signum(x) * F.floor(F.abs(x) + 0.5)).otherwise(x)
 
 
 def logarithm(x: Column) -> Column:

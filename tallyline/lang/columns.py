@@ -62,6 +62,11 @@ class Scope:
     unset: Callable[[str], Value] | None = None
     depth: int = 0
 
+    def written(self, name: str) -> bool:
+        """Whether the program sets the variable anywhere."""
+        nodes = self.tree.nodes() if self.tree else ()
+        return any(n.kind in ("assign", "step", "forin", "getline", "call") and Node("var", (name,)) in (n, *n.args, *(n.args[1] if n.kind == "call" else ())) or (n.kind == "forin" and n.args[0] == name) for n in nodes)
+
 
 _NUMERIC = {"int": numbers.integer, "sqrt": F.sqrt, "abs": F.abs, "ceil": lambda x: F.ceil(x).cast("double"), "floor": lambda x: F.floor(x).cast("double"), "round": numbers.rounded, "sin": F.sin, "cos": F.cos, "exp": F.exp, "log": numbers.logarithm, "log2": F.log2, "log10": F.log10, "compl": lambda x: numbers.complement(x).cast("double")}
 _TEXTUAL = {"tolower": F.lower, "lower": F.lower, "toupper": F.upper, "upper": F.upper, "trim": coerce.trim, "ltrim": strings.ltrim, "rtrim": strings.rtrim, "rev": F.reverse, "reverse": F.reverse, "emoji": strings.emoji, "moji": strings.emoji}
@@ -116,7 +121,7 @@ class Lowering:
         if e.kind == "unary" and e.args[0] == "-" and e.args[1].kind == "num":
             n = int(e.args[1].args[0])
             return Value(F.coalesce(F.try_element_at(s.fields(), F.lit(-n)), s.record.str), "str")
-        if s.columns and e.kind == "str":
+        if s.names and (e.kind == "str" or (e.kind == "var" and e.args[0] != "NF" and e.args[0] not in s.variables and not s.written(e.args[0]))):
             raise ValueError(f"no column {e.args[0]!r}")
         at = self.value(e).num.cast("int")
         fields = s.fields()

@@ -379,14 +379,20 @@ def stateless(tree: Tree, source: Source) -> DataFrame:
     rows = source.rows if limit is None else source.rows.filter(F.col("nr") <= limit)
     scope = source.scope(tree)
     scope.variables |= known
+    scope.unset = lambda name: literal("") if name not in SPECIAL else _unlowered(name)
+    rules = tree.rules
+    if len(rules) == 1 and rules[0].kind == "when" and not written_names(rules[0].patterns[0].walk()):
+        # a filter of its own, which reaches the scan
+        test = Lowering(scope).value(ungrouped(rules[0].patterns[0]))
+        rows = rows.filter(test.column if test.kind == "bool" else test.test)
+        rules = [Rule("always", (), rules[0].body if rules[0].body is not None else [Node("print", ([], None))])]
     state = State(scope, source.ofs, rows=rows)
-    state.scope.unset = lambda name: literal("") if name not in SPECIAL else _unlowered(name)
     if "ORS" in known:
         ors = [n for n in tree.begin if n.args[0].args[1].args[0] == "ORS"][-1].args[0].args[2].args[0]
         if not str(ors).endswith("\n"):
             raise Unlowered("ORS without a line end")
         state.ors = str(ors)
-    through(state, tree.rules, source.fs)
+    through(state, rules, source.fs)
     extra = state.ors[:-1]
     return emitted(state.rows, [F.concat(x, F.lit(extra)) if extra else x for x in state.lines])
 
