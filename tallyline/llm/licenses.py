@@ -25,10 +25,12 @@ from .common import per_worker, read_table
 
 #: Words that stand in license notices.
 TRIGGERS = (b"licen", b"copyright", b"warrant", b"permission is hereby", b"redistribution", b"cc by", b"cc0", b"spdx", b"creative commons", b"public domain")
+_STEMS = tuple(t.split()[0] for t in TRIGGERS)
 GAP = 3
 WINDOW = 240
-RANKED = 3
-LEAST_SAVED = 0.4
+NARROW = 12
+RANKED = 5
+LEAST_SAVED = 0.2
 LEAST_WORDING = 0.9
 
 
@@ -100,12 +102,20 @@ def blocks_of(text: str) -> list[str]:
 
 
 def _windows(block: str) -> list[str]:
-    """The block, or if it is long those of its overlapping windows of WINDOW words that hold a trigger."""
+    """The block, or if it is long a narrow window around each group of triggers, and wide overlapping ones."""
     words = block.split()
-    if len(words) <= WINDOW:
+    if len(words) <= 2 * NARROW:
         return [block]
-    parts = (" ".join(words[a : a + WINDOW]) for a in range(0, len(words) - WINDOW // 2, WINDOW // 2))
-    return [p for p in parts if any(t in p.lower().encode() for t in TRIGGERS)]
+    marked = [i for i, w in enumerate(words) if any(t in w.lower().encode() for t in _STEMS)]
+    groups: list[list[int]] = []
+    for i in marked:
+        if groups and i - groups[-1][-1] <= NARROW // 2 and i - groups[-1][0] <= NARROW:
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+    narrow = [" ".join(words[max(0, g[0] - NARROW) : g[-1] + NARROW + 1]) for g in groups]
+    wide = [words[a : a + WINDOW] for a in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2)]
+    return narrow + [" ".join(w) for w in wide if any(t in " ".join(w).lower().encode() for t in TRIGGERS)]
 
 
 class Scanner:

@@ -237,7 +237,8 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int =
     best = best_fit(histogram, capacity)
     least = lower_bound(histogram, capacity)
     dive = completion(histogram, capacity, sum(histogram.values()) + 2, len(histogram) * 64)  # the first leaf
-    best = min(filter(None, (best, dive)), key=lambda found: sum(found.values()))
+    if dive is not None and sum(dive.values()) < sum(best.values()):
+        best = dive
     while (used := sum(best.values())) > least:
         better = completion(histogram, capacity, used, nodes)
         if better is None:

@@ -23,6 +23,7 @@ that fail Luhn's check aren't cards and stay; an empty table gives an empty resu
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -308,8 +309,12 @@ def _name_key(v: Column) -> Column:
     return F.concat(v["kind"], F.lit(" "), v["value"])
 
 
-def rewritten(docs: DataFrame, key: str = KEY, literal: int = LITERAL) -> DataFrame:
-    """``docs`` with surrogates in ``text``, and kinds: the kind of each replaced value in order."""
+def rewritten(docs: DataFrame, key: str = KEY, literal: int = LITERAL, kinds: str = "kinds") -> DataFrame:
+    """``docs`` with surrogates in ``text``, and in the column ``kinds`` the kind of each replaced value in order.
+
+    All other columns stay; those that come and go here have names of their own.
+    """
+    own = {n: f"_{n}_{uuid.uuid4().hex}" for n in ("again", "found", "doc", "digest")}
     texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
     found = texts.select(F.explode(F.flatten(F.transform(matches_of(F.col("text")), values_of))).alias("v")).select("v.*").distinct()
     again = attempts(written(found, "pii-values"), key)
@@ -317,19 +322,19 @@ def rewritten(docs: DataFrame, key: str = KEY, literal: int = LITERAL) -> DataFr
     rows = docs.withColumn("text", F.col("text").cast("string"))
     if n <= literal:
         told = {f"{r['kind']} {r['value']}": r["attempt"] for r in again.collect()}
-        rows = rows.withColumn("_again", F.from_json(F.lit(json.dumps(told)), "map<string,int>"))
+        rows = rows.withColumn(own["again"], F.from_json(F.lit(json.dumps(told)), "map<string,int>"))
     else:
-        mentions = rows.filter("text is not null").select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_digest"), F.explode(F.flatten(F.transform(matches_of(F.col("text")), values_of))).alias("v")).select("_doc", "_digest", "v.*").distinct()
-        maps = mentions.join(again, ["kind", "value"]).groupBy("_doc", "_digest").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "kind", "value"), "attempt"))).alias("_again"))
-        rows = rows.join(maps, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_digest")), "left").drop("_doc", "_digest")
-    tries = lambda v: F.coalesce(F.try_element_at(F.col("_again"), _name_key(v)), F.lit(0))
+        mentions = rows.filter("text is not null").select(F.col("doc_id").alias(own["doc"]), F.xxhash64("text").alias(own["digest"]), F.explode(F.flatten(F.transform(matches_of(F.col("text")), values_of))).alias("v")).select(own["doc"], own["digest"], "v.*").distinct()
+        maps = mentions.join(again, ["kind", "value"]).groupBy(own["doc"], own["digest"]).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "kind", "value"), "attempt"))).alias(own["again"]))
+        rows = rows.join(maps, F.col("doc_id").eqNullSafe(F.col(own["doc"])) & (F.xxhash64("text") == F.col(own["digest"])), "left").drop(own["doc"], own["digest"])
+    tries = lambda v: F.coalesce(F.try_element_at(F.col(own["again"]), _name_key(v)), F.lit(0))
     surrogates = lambda vs: F.transform(vs, lambda v: _let(tries(v), lambda t: canonical_surrogate(key, v["kind"], v["value"], t)))
     piece = lambda m: _let(F.struct(m.alias("m"), values_of(m).alias("v")), lambda s: F.struct(s["m"].alias("m"), s["v"].alias("v"), surrogates(s["v"]).alias("s")))
-    rows = rows.withColumn("_found", F.transform(matches_of(F.col("text")), piece))
+    rows = rows.withColumn(own["found"], F.transform(matches_of(F.col("text")), piece))
     gaps = F.split("text", PATTERN, -1)
-    joined = F.concat(gaps[0], F.array_join(F.transform("_found", lambda p, i: F.concat(written_surrogate(p["m"], p["v"], p["s"]), F.get(gaps, i + 1))), ""))
-    kinds = F.coalesce(F.flatten(F.transform("_found", lambda p: F.transform(p["v"], lambda v: v["kind"]))), F.array().cast("array<string>"))
-    return rows.withColumn("kinds", kinds).withColumn("text", F.when(F.size("_found") > 0, joined).otherwise(F.col("text"))).drop("_found", "_again")
+    joined = F.concat(gaps[0], F.array_join(F.transform(own["found"], lambda p, i: F.concat(written_surrogate(p["m"], p["v"], p["s"]), F.get(gaps, i + 1))), ""))
+    told_kinds = F.coalesce(F.flatten(F.transform(own["found"], lambda p: F.transform(p["v"], lambda v: v["kind"]))), F.array().cast("array<string>"))
+    return rows.withColumn(kinds, told_kinds).withColumn("text", F.when(F.size(own["found"]) > 0, joined).otherwise(F.col("text"))).drop(own["found"], own["again"])
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
