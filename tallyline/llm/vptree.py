@@ -27,7 +27,7 @@ from .common import read_table, written
 
 K = 10
 SHARD_ROWS = 16_384
-LEAF = 64
+LEAF = 512
 RELAX = 1.0
 _SLACK = 1e-9
 
@@ -42,15 +42,6 @@ class Node:
     outer_range: tuple[float, float] = (0.0, 0.0)
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of every row of a to every row of b, summed component by component."""
-    out = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        d = a[:, j : j + 1] - b[None, :, j]
-        out += d * d
-    return np.sqrt(out)
-
-
 def build(vectors: np.ndarray, rows: np.ndarray | None = None, leaf: int = LEAF, seed: int = 5) -> Node:
     """The tree over ``rows``; vantage points are far from a random row, equal distances end in one leaf."""
     rng = np.random.default_rng(seed)
@@ -61,7 +52,7 @@ def build(vectors: np.ndarray, rows: np.ndarray | None = None, leaf: int = LEAF,
             return Node(rows=rows)
         start = vectors[rows[rng.integers(len(rows))]]
         vantage = int(rows[np.argmax(((vectors[rows] - start) ** 2).sum(axis=1))])
-        d = distances(vectors[vantage : vantage + 1], vectors[rows])[0]
+        d = np.sqrt(((vectors[rows] - vectors[vantage]) ** 2).sum(axis=1))
         middle = np.median(d)
         inside = d <= middle
         if inside.all():
@@ -82,31 +73,52 @@ class Best:
         self.distance = np.full((len(queries), k), np.inf)
         self.id = np.full((len(queries), k), np.iinfo(np.int64).max)
 
-    def offer(self, which: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
+    def offer(self, which: np.ndarray, vectors: np.ndarray, squares: np.ndarray, ids: np.ndarray) -> None:
+        """Candidates for the queries ``which``; ``squares`` are the vectors' squared lengths.
+
+        A matrix product gives squared distances up to a known error; only pairs that may enter by that are summed
+        component by component.
+        """
         for at in range(0, len(which), 256):
             part = which[at : at + 256]
-            d = distances(self.queries[part], vectors)
-            d[self.own[part][:, None] == ids[None, :]] = np.inf
-            hit = (d <= self.distance[part, -1][:, None]).any(axis=1)
-            part, d = part[hit], d[hit]
-            if len(part):
-                every_d = np.concatenate([self.distance[part], d], axis=1)
-                every_i = np.concatenate([self.id[part], np.where(np.isinf(d), np.iinfo(np.int64).max, np.broadcast_to(ids, d.shape))], axis=1)
-                order = np.lexsort((every_i, every_d), axis=1)[:, : self.k]
-                self.distance[part] = np.take_along_axis(every_d, order, axis=1)
-                self.id[part] = np.take_along_axis(every_i, order, axis=1)
+            q = self.queries[part]
+            own = (q * q).sum(axis=1)
+            rough = own[:, None] + squares[None, :] - 2 * (q @ vectors.T)
+            error = 1e-12 * (own[:, None] + squares[None, :]) * q.shape[1]
+            rough[self.own[part][:, None] == ids[None, :]] = np.inf
+            reach = self.distance[part, -1] ** 2 * (1 + 1e-12)
+            if rough.shape[1] > self.k:
+                reach = np.minimum(reach, np.partition(rough + error, self.k - 1, axis=1)[:, self.k - 1])
+            row, col = np.nonzero((rough - error <= reach[:, None]) & np.isfinite(rough))
+            if not len(row):
+                continue
+            total = np.zeros(len(row))
+            for j in range(q.shape[1]):
+                d = q[row, j] - vectors[col, j]
+                total += d * d
+            touched = np.unique(row)
+            every_row = np.concatenate([row, np.repeat(touched, self.k)])
+            every_d = np.concatenate([np.sqrt(total), self.distance[part[touched]].ravel()])
+            every_id = np.concatenate([ids[col], self.id[part[touched]].ravel()])
+            order = np.lexsort((every_id, every_d, every_row))
+            every_row, every_d, every_id = every_row[order], every_d[order], every_id[order]
+            starts = np.searchsorted(every_row, touched)
+            take = starts[:, None] + np.arange(self.k)[None, :]
+            self.distance[part[touched]] = every_d[take]
+            self.id[part[touched]] = every_id[take]
 
 
 def search(tree: Node, vectors: np.ndarray, ids: np.ndarray, best: Best, relax: float = RELAX) -> None:
     """Offers every candidate that may be among the k nearest of any query."""
+    squares = (vectors * vectors).sum(axis=1)
 
     def visit(node: Node, which: np.ndarray) -> None:
         if not len(which):
             return
         if node.rows is not None:
-            best.offer(which, vectors[node.rows], ids[node.rows])
+            best.offer(which, vectors[node.rows], squares[node.rows], ids[node.rows])
             return
-        d = distances(best.queries[which], vectors[node.vantage : node.vantage + 1])[:, 0]
+        d = np.sqrt(((best.queries[which] - vectors[node.vantage]) ** 2).sum(axis=1))
         gap_in = np.maximum(node.inner_range[0] - d, d - node.inner_range[1])
         gap_out = np.maximum(node.outer_range[0] - d, d - node.outer_range[1])
         inside_first = gap_in <= gap_out
