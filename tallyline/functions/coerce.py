@@ -46,8 +46,11 @@ def number_text(n: Column) -> Column:
 
 def _number_text(n: Column) -> Column:
     short = F.regexp_replace(F.format_string("%.6f", n), r"\.?0+$", "")
+    rounded = F.round(n, 6)
     return (
         F.when((n == F.floor(n)) & (F.abs(n) < 9.2e18), n.try_cast("bigint").cast("string"))
+        # doubles of this size are written without an exponent
+        .when((F.abs(n) >= 1e-3) & (F.abs(n) < 9e6) & (rounded != F.floor(rounded)), rounded.cast("string"))
         .when(F.isnan(n), "nan")
         .when(n == float("inf"), "inf")
         .when(n == float("-inf"), "-inf")

@@ -13,6 +13,7 @@ Whatever isn't one of them raises Unlowered, and ``run`` falls back to the seque
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -36,6 +37,11 @@ class Source:
     fs: str = " "
     ofs: str = " "
     variables: dict[str, str] = field(default_factory=dict)
+    #: Replaces nr, which otherwise only rises with the records, by their numbers from 1.
+    number: Callable[[DataFrame], DataFrame] | None = None
+
+    def numbered(self) -> DataFrame:
+        return self.number(self.rows) if self.number else self.rows
 
     def scope(self, tree: Tree) -> Scope:
         names = list(self.columns)
@@ -453,7 +459,7 @@ def ranges(tree: Tree, source: Source) -> DataFrame:
     scope.variables |= known
     state = State(scope, source.ofs)
     start, end = (pattern_of(state, ungrouped(p), scope.record) for p in tree.rules[0].patterns)
-    inside = Ordered(source.rows, "nr").between(start, end)
+    inside = Ordered(source.numbered(), "nr").between(start, end)
     return _then(tree, source, inside, tree.rules[0].body)
 
 
@@ -476,14 +482,19 @@ def last_records(tree: Tree, source: Source) -> DataFrame:
 # --- two files -------------------------------------------------------------------------------------------------------
 
 
+def first_file(r: Rule) -> bool:
+    """Whether a rule's pattern is NR == FNR: the records of the first file."""
+    p = ungrouped(r.patterns[0]) if r.patterns else None
+    same = (Node("var", ("NR",)), Node("var", ("FNR",)))
+    return p is not None and p.kind == "binary" and p.args[0] == "==" and (p.args[1], p.args[2]) in (same, same[::-1])
+
+
 def lookup(tree: Tree, source: Source, paths: int) -> DataFrame:
     checked_end(tree)
     if paths < 2 or len(tree.rules) < 2:
         raise Unlowered("not two files")
     first = tree.rules[0]
-    p = ungrouped(first.patterns[0]) if first.patterns else None
-    same = (Node("var", ("NR",)), Node("var", ("FNR",)))
-    if p is None or p.kind != "binary" or p.args[0] != "==" or (p.args[1], p.args[2]) not in (same, same[::-1]) or not first.body or first.body[-1].kind != "next":
+    if not first_file(first) or not first.body or first.body[-1].kind != "next":
         raise Unlowered("no array from the first file")
     known = constants(tree, source)
     scope = source.scope(tree)
@@ -546,7 +557,7 @@ def ordered(tree: Tree, source: Source) -> DataFrame:
     scope = source.scope(tree)
     scope.variables |= known
     low = Lowering(scope)
-    rows = source.rows
+    rows = source.numbered()
     changes: dict[str, list[tuple[Rule, Node]]] = {}
     for r in tree.rules:
         for n in r.body or []:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -79,9 +79,11 @@ class Program:
             read = lambda p: readers.json_records(spark, p)
         else:
             read = lambda p: readers.lines(spark, p, separator, regex)
-        rows = numbered(spark, [(p, read(p)) for p in paths])
+        rows = listed([(p, read(p)) for p in paths])
+        rows = numbered(rows) if reads_numbers(self.tree) else rows.withColumn("nr", F.col("_id")).withColumn("fnr", F.lit(None).cast("long")).drop("_id")
         columns = {n: k for n, k in rows.dtypes if n not in ("nr", "fnr", "file", "filename")} if named else {}
-        return lower.Source(rows, columns, self.fs, self.ofs, dict(self.variables))
+        number = None if reads_numbers(self.tree) else lambda df: numbered(df.withColumn("_id", F.col("nr")))
+        return lower.Source(rows, columns, self.fs, self.ofs, dict(self.variables), number)
 
     def on(self, spark: SparkSession, rows: DataFrame, order: str) -> Result:
         """Runs over a table with named columns; ``order`` is a unique number that orders it."""
@@ -119,7 +121,7 @@ class Program:
         }
         multiline = any(n.kind == "str" and "\n" in n.args[0] for n in tree.nodes())
         for how, way in ways.items():
-            copy = lower.Source(source.rows, source.columns, source.fs, source.ofs, source.variables)
+            copy = replace(source)
             try:
                 out = way(copy)
             except Unlowered as why:
@@ -176,20 +178,34 @@ def fields_row(rows: DataFrame, separator: str) -> DataFrame:
     return rows.select(F.concat_ws(separator, *names).alias("value"), F.array(*names).alias("fields"))
 
 
-def numbered(spark: SparkSession, files: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Records with nr, fnr, file and filename, over all files in order."""
-    from pyspark.sql import Window
+def reads_numbers(tree: Tree) -> bool:
+    """Whether rules read NR or FNR; the comparison that marks the first file, and END, need no record numbers."""
+    for k, r in enumerate(tree.rules):
+        patterns = [] if k == 0 and r.kind == "when" and lower.first_file(r) else r.patterns
+        if any(n.kind == "var" and n.args[0] in ("NR", "FNR") for p in (*patterns, *(r.body or ())) for n in p.walk()):
+            return True
+    nodes = [n for _, body in tree.functions.values() for b in body for n in b.walk()] + [n for b in (*tree.begin_file, *tree.end_file) for n in b.walk()]
+    return any(n.kind == "var" and n.args[0] in ("NR", "FNR") for n in nodes) or any(n.kind == "call" and n.args[0] in ("collect", "acc", "accumulate") for r in tree.rules for b in r.body or () for n in b.walk())
+
 
+def listed(files: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Records with file, filename and _id, which rises with the records of all files in order."""
     out = None
     for k, (path, rows) in enumerate(files):
-        rows = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("file", F.lit(k)).withColumn("filename", F.lit(path))
+        rows = rows.withColumn("file", F.lit(k)).withColumn("filename", F.lit(path))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    out = out.withColumn("_part", F.shiftright("_id", 33))
-    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    counts = out.groupBy("file", "_part").agg(F.count("*").alias("_n"))
-    earlier = lambda *by: Window.partitionBy(*by).orderBy("file", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    carry = counts.select("file", "_part", F.coalesce(F.sum("_n").over(earlier("file")), F.lit(0)).alias("_f"), F.coalesce(F.sum("_n").over(earlier()), F.lit(0)).alias("_a"))
-    return out.join(F.broadcast(carry), ["file", "_part"]).withColumn("fnr", place + F.col("_f")).withColumn("nr", place + F.col("_a")).drop("_id", "_part", "_f", "_a")
+    return out.withColumn("_id", F.monotonically_increasing_id())
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """With nr and fnr from 1: places within partitions plus what earlier partitions hold, one row a partition."""
+    from pyspark.sql import Window
+
+    own = rows.withColumn("_part", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    per = own.groupBy("file", "_part").agg(F.count("*").alias("_n"))
+    earlier = lambda *by: Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier("file")), F.lit(0)).alias("_f"), F.coalesce(F.sum("_n").over(earlier()), F.lit(0)).alias("_a"))
+    return own.join(carry, F.col("_part") == F.col("_p")).withColumn("fnr", F.col("_place") + F.col("_f")).withColumn("nr", F.col("_place") + F.col("_a")).drop("_id", "_part", "_p", "_place", "_f", "_a")
 
 
 def run(spark: SparkSession, program: str, paths: str | list[str] = (), **options) -> Result:  # noqa: ANN003

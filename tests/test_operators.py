@@ -112,3 +112,19 @@ def test_sets(spark):
     assert {r["x"] for r in sets.intersection(a, b, "x").collect()} == set("bd")
     assert {r["x"] for r in sets.union(a, b, "x").collect()} == set("abcde")
     assert {r["x"] for r in sets.symmetric_difference(a, b, "x").collect()} == set("ace")
+
+
+@pytest.mark.parametrize("accuracy", [20, 1000, 20_000])
+def test_exact_quantiles(spark, accuracy):
+    rng = random.Random(9)
+    rows = [(g, rng.choice([rng.gauss(0, 1), float(rng.randint(0, 3))])) for g in ("a", "b", None) for _ in range({"a": 2000, "b": 37, None: 1}[g])] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    percents = {"p0": 0, "p1": 1, "p25": 25, "p50": 50, "p95": 95, "p100": 100, "p140": 140}
+    expected = {r["g"]: r for r in df.groupBy("g").agg(*[aggregate.percentile(F.col("v"), p).alias(n) for n, p in percents.items()]).collect()}
+    got = aggregate.exact_quantiles(df, "v", percents, "g", accuracy=accuracy).collect()
+    assert len(got) == 3
+    for r in got:
+        for n in percents:
+            assert r[n] == pytest.approx(expected[r["g"]][n]), (r["g"], n)
+    whole = aggregate.exact_quantiles(df, "v", {"m": 50}, accuracy=accuracy).first()["m"]
+    assert whole == pytest.approx(df.agg(F.median("v")).first()[0])
