@@ -55,7 +55,7 @@ def queries(spark) -> dict:  # noqa: ANN001
         "b12_head": lambda: readers.lines(spark, path).limit(100),
         "b13_distinct": lambda: readers.lines(spark, words).distinct(),
         "b14_mean": lambda: line().agg(F.avg("l_extendedprice").alias("m")),
-        "b15_median": lambda: line().agg(aggregate.percentile(F.col("l_extendedprice"), 50).alias("m")),
+        "b15_median": lambda: aggregate.exact_quantiles(line(), "l_extendedprice", {"m": 50}),
         "b16_reverse": lambda: readers.lines(spark, words).select(F.reverse("value").alias("v")),
         "t1_print_field": lambda: text("{ print $2 }"),
         "t2_sum": lambda: text("{ s += $3 } END { print s }"),

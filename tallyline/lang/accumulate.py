@@ -271,7 +271,7 @@ def _value(g: Gathering, name: str, column: Column | None = None, has: Column |
     return Value(F.coalesce(c, default), kind, F.coalesce(h, F.lit(False)))
 
 
-_STATISTICS = {"sum": lambda v: F.coalesce(F.sum(v), F.lit(0.0)), "mean": F.avg, "avg": F.avg, "variance": F.var_pop, "var": F.var_pop, "stddev": F.stddev_pop, "sd": F.stddev_pop, "min": F.min, "max": F.max, "median": lambda v: F.percentile(v, F.lit(0.5)), "med": lambda v: F.percentile(v, F.lit(0.5))}
+_STATISTICS = {"sum": lambda v: F.coalesce(F.sum(v), F.lit(0.0)), "mean": F.avg, "avg": F.avg, "variance": F.var_pop, "var": F.var_pop, "stddev": F.stddev_pop, "sd": F.stddev_pop, "min": F.min, "max": F.max}
 
 
 def end_plan(g: Gathering, spark: SparkSession) -> DataFrame:
@@ -296,9 +296,11 @@ def end_plan(g: Gathering, spark: SparkSession) -> DataFrame:
             return Value(table.select(F.count("*").cast("double")).scalar(), "num")
         if name in _STATISTICS and len(args) == 1:
             return Value(F.coalesce(table.select(_STATISTICS[name](v).cast("double")).scalar(), F.lit(0.0)), "num")
+        of = {"median": 50.0, "med": 50.0}.get(name) if len(args) == 1 else None
         if name in ("p", "percentile", "pct", "quantile", "q") and len(args) == 2 and args[1].kind == "num":
-            p = args[1].args[0] * (100 if name in ("quantile", "q") else 1)
-            return Value(F.coalesce(table.select(aggregate.percentile(v, p)).scalar(), F.lit(0.0)), "num")
+            of = args[1].args[0] * (100 if name in ("quantile", "q") else 1)
+        if of is not None:
+            return Value(F.coalesce(aggregate.exact_quantiles(table.select(v.alias("x")), "x", {"q": of}).scalar(), F.lit(0.0)), "num")
         if name == "iqm" and len(args) == 1:
             return Value(F.coalesce(aggregate.interquartile_mean(table.select(v.alias("x")), "x").select("iqm").scalar(), F.lit(0.0)), "num")
         return None

@@ -175,10 +175,10 @@ def _(t: Tables) -> DataFrame:
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def _stream(t: Tables) -> DataFrame:
+def _stream(t: Tables, files_a_batch: int = 2) -> DataFrame:
     path = scratch(t.spark, "events")
     t.events.repartitionByRange(4, "event_id").write.parquet(path)
-    return stream.tables(t.spark, path, _EVENTS, 2)
+    return stream.tables(t.spark, path, _EVENTS, files_a_batch)
 
 
 def _drained(t: Tables, out: DataFrame, mode: str) -> DataFrame:
@@ -201,3 +201,24 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     rows = _stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
     return _drained(t, stream.distinct(rows, "ts", "10000 days", "user_id").select("user_id"), "append")
+
+
+@on_tables("stm_04_session_windows", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 2 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS f FROM events), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def _(t: Tables) -> DataFrame:
+    rows = _stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = _drained(t, stream.sessions(rows, "ts", "2 hours", "10000 days", "user_id"), "complete")
+    return out.select("user_id", F.unix_timestamp("session_window.start").alias("start"), "n")
+
+
+@on_tables("stm_05_sliding_windows", "SELECT CAST(s AS BIGINT) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT value, unnest([floor(epoch(ts) / 1800) * 1800, floor(epoch(ts) / 1800) * 1800 - 1800]) AS s FROM events) GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    rows = _stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = _drained(t, stream.sliding(rows, "ts", "1 hour", "30 minutes", "10000 days", value="value"), "complete")
+    return out.select(F.unix_timestamp("window.start").alias("start"), "n", F.round("mean", 6).alias("mean"))
+
+
+@on_tables("stm_06_count_window", "SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS mean FROM events")
+def _(t: Tables) -> DataFrame:
+    rows = _stream(t, 100)  # files of one moment have no order, so they come in one batch
+    out = stream.count_window(rows.select("user_id", "event_id", "value"), "user_id", "event_id", "value", 3)
+    return _drained(t, out, "append").select("user_id", "event_id", F.round("mean", 6).alias("mean"))

@@ -67,7 +67,8 @@ class CountWindow(StatefulProcessor):
 
 
 def count_window(stream: DataFrame, key: str, order: str, value: str, n: int) -> DataFrame:
-    """A moving mean over the last n rows of each key; the state is n values a key."""
+    """A moving mean over the last n rows of each key; the state is n values a key, in RocksDB."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kinds = dict(stream.dtypes)
     return stream.groupBy(key).transformWithStateInPandas(CountWindow(key, order, value, n), f"{key} {kinds[key]}, {order} {kinds[order]}, mean double", "Append", "None")
 
