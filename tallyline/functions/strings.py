@@ -147,7 +147,8 @@ def match_group(s: Column, pattern: str, group: int) -> Column:
 def split(s: Column, sep: str | None = None, regex: bool = False) -> Column:
     """Parts of s: by white space (None or " "), a literal separator, or a regular expression."""
     if sep is None or sep == " ":
-        return F.when(F.regexp_replace(s, r"^\s+|\s+$", "") == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(s, r"^\s+|\s+$", ""), r"\s+"))
+        bare = F.btrim(s, F.lit(" \t\n\x0b\f\r"))
+        return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"\s+"))
     return F.split(s, java_regex(sep) if regex else quote(sep), -1)
 
 

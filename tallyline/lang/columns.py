@@ -60,6 +60,7 @@ class Scope:
     array_has: Callable[[str, list[Node]], Column] | None = None
     aggregate: Callable[[str, list[Node]], Value | None] | None = None
     unset: Callable[[str], Value] | None = None
+    nth: Callable[[int], Column] | None = None  # one field without splitting all, where few are read
     depth: int = 0
 
     def written(self, name: str) -> bool:
@@ -117,6 +118,8 @@ class Lowering:
                 return s.record
             if s.names and n <= len(s.names):
                 return self.on_field(Node("str", (s.names[n - 1],)))
+            if s.nth:
+                return Value(s.nth(n), "str")
             return Value(F.coalesce(F.get(s.fields(), F.lit(n - 1)), F.lit("")), "str")
         if e.kind == "unary" and e.args[0] == "-" and e.args[1].kind == "num":
             n = int(e.args[1].args[0])

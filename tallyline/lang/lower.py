@@ -54,7 +54,26 @@ class Source:
             record = Value(F.col("value"), "str")
         given = {n: _given(v) for n, v in self.variables.items()}
         given |= {"NR": Value(F.col("nr").cast("double"), "num"), "FNR": Value(F.col("fnr").cast("double"), "num"), "FILENAME": Value(F.col("filename"), "str"), "FS": literal(self.fs), "OFS": literal(self.ofs), "SUBSEP": literal("\x1c"), "ORS": literal("\n")}
-        return Scope(record, fields, lambda: F.size(fields()), given, self.columns, names, tree)
+        nth = None if names or len(fields_read(tree)) > FEW else lambda n: field_at(F.col("value"), self.fs, n)
+        return Scope(record, fields, lambda: F.size(fields()), given, self.columns, names, tree, nth=nth)
+
+
+#: Up to so many fields are read one by one.
+FEW = 3
+
+
+def fields_read(tree: Tree) -> set[float]:
+    """The constant field numbers of a program."""
+    return {n.args[0].args[0] for n in tree.nodes() if n.kind == "field" and n.args[0].kind == "num" and n.args[0].args[0] > 0}
+
+
+def field_at(value: Column, fs: str, n: int) -> Column:
+    """The n-th field, empty if there are fewer."""
+    if fs == " ":
+        return F.regexp_extract(value, rf"^\s*(?:\S+\s+){{{n - 1}}}(\S+)", 1)
+    if len(fs) == 1:
+        return F.split_part(value, F.lit(fs), F.lit(n))
+    return F.coalesce(F.get(split_by(value, fs), F.lit(n - 1)), F.lit(""))
 
 
 def _given(v: str) -> Value:
@@ -183,11 +202,11 @@ class State:
         now = self.bind(F.when(when, fields).otherwise(before) if when is not None else fields)
         joined = F.array_join(now, self.ofs)
         record = self.bind(F.when(when, joined).otherwise(self.scope.record.str) if when is not None else joined)
-        self.scope = Scope(**{**self.scope.__dict__, "record": Value(record, "str"), "fields": lambda: now, "count": lambda: F.size(now), "columns": {}, "names": []})
+        self.scope = Scope(**{**self.scope.__dict__, "record": Value(record, "str"), "fields": lambda: now, "count": lambda: F.size(now), "columns": {}, "names": [], "nth": None})
 
     def set_record(self, when: Column | None, record: Column, fs: str) -> None:
         now = self.bind(F.when(when, record).otherwise(self.scope.record.str) if when is not None else record)
-        self.scope = Scope(**{**self.scope.__dict__, "record": Value(now, "str"), "fields": lambda: split_by(now, fs), "count": lambda: F.size(split_by(now, fs)), "columns": {}, "names": []})
+        self.scope = Scope(**{**self.scope.__dict__, "record": Value(now, "str"), "fields": lambda: split_by(now, fs), "count": lambda: F.size(split_by(now, fs)), "columns": {}, "names": [], "nth": None})
 
 
 def _both(a: Column | None, b: Column | None) -> Column | None:
