@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import gsub, sub
 from ..operators.ordered import Ordered
+from ..operators.select import until
 from .columns import Lowering, Scope, Unlowered, Value, literal
 from .syntax import Node, Rule, Tree, ungrouped
 
@@ -397,11 +398,16 @@ def carried_names(tree: Tree) -> set[str]:
 
 def stateless(tree: Tree, source: Source) -> DataFrame:
     checked_end(tree)
+    tree, stop = until_exit(tree)
     tree, limit = without_exit(tree)
     known = constants(tree, source)
     if carried_names(tree):
         raise Unlowered("carried variables")
     rows = source.rows if limit is None else source.rows.filter(F.col("nr") <= limit)
+    if stop is not None:
+        at_exit = source.scope(tree)
+        at_exit.variables |= known
+        rows = until(rows, pattern_of(State(at_exit, source.ofs), ungrouped(stop), at_exit.record))
     scope = source.scope(tree)
     scope.variables |= known
     scope.unset = lambda name: literal("") if name not in SPECIAL else _unlowered(name)
@@ -426,6 +432,17 @@ def _unlowered(name: str) -> Value:
     raise Unlowered(name)
 
 
+def until_exit(tree: Tree) -> tuple[Tree, Node | None]:
+    """The pattern of the one rule that ends in ``exit`` after other actions, and the program with ``next`` there."""
+    ends = [k for k, r in enumerate(tree.rules) if r.kind == "when" and r.body and len(r.body) > 1 and r.body[-1] == Node("exit", (None,))]
+    others = sum(n.kind in ("exit", "next") for r in tree.rules for n in rule_nodes(r))
+    if len(ends) != 1 or others != 1 or written_names(tree.rules[ends[0]].patterns[0].walk()):
+        return tree, None
+    r = tree.rules[ends[0]]
+    rules = [*tree.rules[: ends[0]], Rule("when", r.patterns, [*r.body[:-1], Node("next")]), *tree.rules[ends[0] + 1 :]]
+    return Tree(tree.begin, tree.end, tree.begin_file, tree.end_file, rules, tree.functions), r.patterns[0]
+
+
 def without_exit(tree: Tree) -> tuple[Tree, int | None]:
     """``NR > k { exit }`` at the start as a limit."""
     if tree.rules and (r := tree.rules[0]).kind == "when" and r.body and len(r.body) == 1 and r.body[0].kind == "exit":
@@ -566,6 +583,47 @@ def lookup(tree: Tree, source: Source, paths: int) -> DataFrame:
 # --- values of earlier records ---------------------------------------------------------------------------------------
 
 
+def _record_cell(changes: list[tuple[Rule, Node]]) -> bool:
+    """Whether an array is only written as ``a[NR] = e``, in the first rule and for every record."""
+    if len(changes) != 1 or changes[0][1] is None or changes[0][0].kind != "always":
+        return False
+    e = changes[0][1]
+    return e.kind == "assign" and not e.args[0] and e.args[1].kind == "index" and e.args[1].args[1] == [Node("var", ("NR",))]
+
+
+def earlier_cells(tree: Tree, cells: dict[str, Node], rows: DataFrame, low: Lowering):  # noqa: ANN201
+    """How to read ``a[NR]`` and ``a[NR - k]``, and the rows with a column for each k that is read."""
+    found: dict[tuple[str, int], Value] = {}
+    for r in tree.rules if cells else ():
+        for n in rule_nodes(r):
+            if n.kind != "index" or n.args[0] not in cells or (n.args[0], k := _offset(n.args[1])) in found:
+                continue
+            v = low.value(cells[n.args[0]].args[2])
+            if k == 0:
+                found[n.args[0], 0] = v
+                continue
+            column = f"_e_{n.args[0]}_{k}"
+            rows = Ordered(rows, "nr").earlier(v.column, k, column)
+            found[n.args[0], k] = Value(F.coalesce(F.col(column), F.lit(0.0 if v.kind == "num" else "")), v.kind)
+
+    def read(name: str, keys: list[Node]) -> Value:
+        if name not in cells:
+            raise Unlowered(f"array {name}")
+        return found[name, _offset(keys)]
+
+    return read, rows
+
+
+def _offset(keys: list[Node]) -> int:
+    """k of the key ``NR - k``."""
+    e = ungrouped(keys[0]) if len(keys) == 1 else None
+    if e == Node("var", ("NR",)):
+        return 0
+    if e is not None and e.kind == "binary" and e.args[0] == "-" and e.args[1] == Node("var", ("NR",)) and e.args[2].kind == "num" and e.args[2].args[0] >= 0:
+        return int(e.args[2].args[0])
+    raise Unlowered("cell of another record")
+
+
 def ordered(tree: Tree, source: Source) -> DataFrame:
     """Carried scalars: ``v = e`` in every record (the value before), ``v += e`` and ``v++`` (a running sum)."""
     checked_end(tree)
@@ -587,7 +645,10 @@ def ordered(tree: Tree, source: Source) -> DataFrame:
             raise Unlowered("pattern with an effect")
     before: dict[str, Value] = {}
     after: dict[str, Value] = {}
-    for name in sorted(carried):
+    cells = {name: changes[name][0][1] for name in carried if _record_cell(changes.get(name, []))}
+    read, rows = earlier_cells(tree, cells, rows, low)
+    scope.array_read = read if cells else None
+    for name in sorted(carried - set(cells)):
         (r, e), *more = changes.get(name, [(None, None)])
         if more or e is None or r.kind not in ("always", "when"):
             raise Unlowered(f"changes of {name}")
@@ -618,6 +679,8 @@ def ordered(tree: Tree, source: Source) -> DataFrame:
             continue
         for n in r.body:
             mine = written_names(n.walk()) & carried
+            if mine <= set(cells) and mine:
+                continue
             if mine:
                 state.scope.variables = {**state.scope.variables, **{w: after[w] for w in mine}}
                 continue

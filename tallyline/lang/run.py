@@ -205,7 +205,8 @@ def numbered(rows: DataFrame) -> DataFrame:
     per = own.groupBy("file", "_part").agg(F.count("*").alias("_n"))
     earlier = lambda *by: Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carry = per.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier("file")), F.lit(0)).alias("_f"), F.coalesce(F.sum("_n").over(earlier()), F.lit(0)).alias("_a"))
-    return own.join(carry, F.col("_part") == F.col("_p")).withColumn("fnr", F.col("_place") + F.col("_f")).withColumn("nr", F.col("_place") + F.col("_a")).drop("_id", "_part", "_p", "_place", "_f", "_a")
+    # as many rows as the input has partitions
+    return own.join(F.broadcast(carry), F.col("_part") == F.col("_p")).withColumn("fnr", F.col("_place") + F.col("_f")).withColumn("nr", F.col("_place") + F.col("_a")).drop("_id", "_part", "_p", "_place", "_f", "_a")
 
 
 def run(spark: SparkSession, program: str, paths: str | list[str] = (), **options) -> Result:  # noqa: ANN003

@@ -67,7 +67,7 @@ class Ordered:
         own = F.lead(F.struct(value.alias("v"))).over(self.within)
         return self.bucketed.withColumn("_own", own).join(carry, BUCKET).withColumn(name, F.coalesce("_own", "_first")["v"]).drop("_own", "_first", BUCKET)
 
-    def moving(self, n: int, aggregate: Column, name: str, full: bool = False) -> DataFrame:
+    def moving(self, n: int, aggregate: Column, name: str, full: bool = False, lag: int = 0) -> DataFrame:
         """``aggregate`` over the last ``n`` rows; ``full`` keeps only rows that have n.
 
         Buckets are runs of record numbers; the last n - 1 rows of a run also visit the next one.
@@ -77,16 +77,19 @@ class Ordered:
         visits = F.when((F.col("_nr") - 1) % run >= run - (n - 1), F.array(F.col("_at"), F.col("_at") + 1)).otherwise(F.array("_at"))
         seen = numbered.withColumn(BUCKET, F.explode(visits))
         over = Window.partitionBy(BUCKET).orderBy("_nr").rowsBetween(1 - n, 0)
-        done = seen.withColumn(name, aggregate.over(over)).filter(F.col(BUCKET) == F.col("_at"))
+        value = F.lag(aggregate, lag).over(Window.partitionBy(BUCKET).orderBy("_nr")) if lag else aggregate.over(over)
+        done = seen.withColumn(name, value).filter(F.col(BUCKET) == F.col("_at"))
         return (done.filter(F.col("_nr") >= n) if full else done).drop("_nr", "_at", BUCKET)
 
     def first_seen(self, *keys: str) -> DataFrame:
-        """The first row of each key."""
-        first = self.rows.groupBy(*[F.col(k).alias(f"_first_key{i}") for i, k in enumerate(keys)]).agg(F.min(self.order).alias("_first"))
-        on = F.col(self.order) == F.col("_first")
-        for i, k in enumerate(keys):
-            on = on & F.col(k).eqNullSafe(F.col(f"_first_key{i}"))
-        return self.rows.join(first, on, "left_semi")
+        """The first row of each key: one aggregation, combined before its only shuffle."""
+        columns = [F.col(f"`{c}`") for c in self.rows.columns]
+        first = self.rows.groupBy(*[F.col(k).alias(f"_first_key{i}") for i, k in enumerate(keys)]).agg(F.min_by(F.struct(*columns), self.order).alias("_first_row"))
+        return first.select("_first_row.*")
+
+    def earlier(self, value: Column, k: int, name: str) -> DataFrame:
+        """With the value ``k`` rows before, null in the first k rows."""
+        return self.moving(k + 1, value, name, lag=k)
 
     def running_distinct(self, key: str, name: str) -> DataFrame:
         """With the number of distinct keys so far."""
