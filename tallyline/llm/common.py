@@ -51,12 +51,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def per_worker(key: str, build: Callable[[], Any]) -> Any:
-    """``build()`` once for each Python worker process, whatever number of tasks it runs."""
+def per_worker(family: str, version: str, build: Callable[[], Any]) -> Any:
+    """``build()`` once for each Python worker process, whatever number of tasks it runs.
+
+    Workers outlive jobs: of each family only the version asked for last is kept.
+    """
     kept = sys.__dict__.setdefault("_tallyline_kept", {})
-    if key not in kept:
-        kept[key] = build()
-    return kept[key]
+    if kept.get(family, (None, None))[0] != version:
+        kept.pop(family, None)
+        kept[family] = (version, build())
+    return kept[family][1]
 
 
 def crc32_mod(column: Column, n: int) -> Column:

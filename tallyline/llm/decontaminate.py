@@ -110,7 +110,7 @@ def _hits(docs: DataFrame, items: list[tuple[int, str]], name: str, window: int,
     kept = docs.sparkSession.sparkContext.broadcast(items)  # at most about SHARD_CHARS characters of windows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = per_worker(f"automaton {name}", lambda: automaton(kept.value, window))
+        found = per_worker("automaton", name, lambda: automaton(kept.value, window))
         for batch in batches:
             rows = [scan(t.as_py() or b"", found) for t in batch.column(2).cast(pa.binary())]
             keep = [i for i, r in enumerate(rows) if r[1] or not only_hit]

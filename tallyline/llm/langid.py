@@ -207,7 +207,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     kept, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # 2**BITS weights a machine
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = per_worker(f"languages {name}", lambda: kept.value)
+        own = per_worker("languages", name, lambda: kept.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             if own is None:

@@ -169,7 +169,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_blocks (candidate blocks), licenses (confirmed SPDX identifiers, rising) and saved of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = per_worker("license scanner", Scanner)
+        scanner = per_worker("licenses", "", Scanner)
         for batch in batches:
             blocks, names, saved = [], [], []
             for text in batch.column(1):

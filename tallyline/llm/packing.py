@@ -78,7 +78,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str]
     paths = paths or vocabulary_paths()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = per_worker(f"encoder {paths}", lambda: Encoder(paths))
+        encode = per_worker("encoder", str(paths), lambda: Encoder(paths))
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

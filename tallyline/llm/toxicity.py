@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,9 +33,10 @@ DIM = 16
 FILTERS = 16
 WIDTHS = (1, 2, 3)
 PREFIXES = (4, 5, 6, 7)
-SAMPLE = 4000
+SAMPLE = 3000
 TRAIN_WORDS = 8192
 CHUNK = 100_000
+WIDE = 1 + len(PREFIXES)  # features of a word
 NONE = (1 << BITS) - 1  # the id of no feature, whose vector stays zero
 
 #: Common function words that tell four languages apart.
@@ -78,15 +80,19 @@ class Vocabulary(dict):
     def __init__(self) -> None:
         super().__init__()
         self.known = _votes()
-        self.features = [[NONE] * (1 + len(PREFIXES))]
-        self.votes = [0]
+        self.features = array("i", [NONE] * WIDE)
+        self.votes = array("b", [0])
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.votes)
-        self.features.append(features_of(word))
+        self.features.extend(features_of(word))
         self.votes.append(self.known.get(word, 0))
         return n
 
+    def table(self, start: int = 0) -> np.ndarray:
+        """The features of the words from number ``start`` on, a row each."""
+        return np.array(self.features[start * WIDE :], dtype=np.int32).reshape(-1, WIDE)
+
     def encode(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
 
@@ -305,13 +311,14 @@ def trained(docs: DataFrame, labels: DataFrame, keep: F.Column, sample: int = SA
         return float(y.mean()) if len(y) else 0.0
     vocabulary = Vocabulary()
     texts = [vocabulary.encode(w.split()) for w in rows["words"]]
-    return fit(texts, np.array(vocabulary.features, dtype=np.int32), np.array(vocabulary.votes, dtype=np.int8), y)
+    del rows
+    return fit(texts, vocabulary.table(), np.array(vocabulary.votes, dtype=np.int8), y)
 
 
 class Scorer:
     """A worker's vocabulary and table for a model; both start anew when the vocabulary has grown large."""
 
-    LARGEST = 100_000
+    LARGEST = 60_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -325,9 +332,9 @@ class Scorer:
         if len(self.vocabulary) > self.LARGEST:
             self.clear()
         numbers = [self.vocabulary.encode(words_of(t or "")) for t in texts]
-        new = self.vocabulary.features[len(self.table) :]
-        if new:
-            self.table = np.concatenate([self.table, self.model.projected(np.array(new, dtype=np.int32))])
+        new = self.vocabulary.table(len(self.table))
+        if len(new):
+            self.table = np.concatenate([self.table, self.model.projected(new)])
         z = logits_of(numbers, self.model, self.table, np.array(self.vocabulary.votes, dtype=np.int8))
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
@@ -339,7 +346,7 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
     kept, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # a fixed size: 2**BITS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = per_worker(f"toxicity {name}", lambda: Scorer(kept.value))
+        scorer = per_worker("toxicity", name, lambda: Scorer(kept.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)

@@ -125,8 +125,8 @@ def test_chunks_change_nothing(monkeypatch):
     rows = labelled(200, 4)
     v = toxicity.Vocabulary()
     texts = [v.encode(toxicity.words_of(t)) for _, t, _ in rows]
-    model = toxicity.train(texts, np.array(v.features, dtype=np.int32), np.array([y for *_, y in rows]), epochs=2)
-    table, votes = model.projected(np.array(v.features)), np.array(v.votes)
+    model = toxicity.train(texts, v.table(), np.array([y for *_, y in rows]), epochs=2)
+    table, votes = model.projected(v.table()), np.array(v.votes)
     long = [np.concatenate(texts), *texts[:20], np.zeros(0, dtype=np.int32)]
     whole = toxicity.logits_of(long, model, table, votes)
     monkeypatch.setattr(toxicity, "CHUNK", 13)
@@ -137,7 +137,7 @@ def test_a_full_vocabulary_starts_anew(monkeypatch):
     rows = labelled(100, 5)
     v = toxicity.Vocabulary()
     texts = [v.encode(toxicity.words_of(t)) for _, t, _ in rows]
-    model = toxicity.train(texts, np.array(v.features, dtype=np.int32), np.array([y for *_, y in rows]), epochs=1)
+    model = toxicity.train(texts, v.table(), np.array([y for *_, y in rows]), epochs=1)
     one = toxicity.Scorer(model).scores([t for _, t, _ in rows])
     monkeypatch.setattr(toxicity.Scorer, "LARGEST", 10)
     small = toxicity.Scorer(model)
