@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     if len(parts) > words:
-        starts, ends = starts[: 1 - words], ends[words - 1 :]
+        starts, ends = starts[: len(parts) - words + 1], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_digest
@@ -104,15 +105,18 @@ def probes(bits: list[int], threshold: int) -> list[int]:
     return [mask_of(list(c)) for n in range(threshold + 1) for c in combinations(bits, n)]
 
 
-def estimated_cost(sample: np.ndarray, bits: list[int], threshold: int, total: int) -> float:
-    """Probes plus candidate pairs of a partition for ``total`` distinct fingerprints; the sample shows the skew."""
+def estimated_cost(sample: np.ndarray, bits: list[int], threshold: int, total: int, pair_cost: float = 1.0) -> float:
+    """Probes plus candidate pairs of a partition for ``total`` distinct fingerprints; the sample shows the skew.
+
+    ``pair_cost`` is what a comparison costs beside a probe, which is a shuffled row.
+    """
     if threshold < 0:
         return 0.0
-    around = len(probes(bits, threshold))
+    around = sum(comb(len(bits), n) for n in range(threshold + 1))
     _, counts = np.unique(sample & np.uint64(mask_of(bits)), return_counts=True)
     pairs = max(1, len(sample) * (len(sample) - 1) / 2)
     same = max((counts * (counts - 1) / 2).sum() / pairs, 2.0 ** -len(bits))
-    return total * around + same * around * total * total / 2
+    return total * around + pair_cost * same * around * total * total / 2
 
 
 def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
@@ -128,12 +132,12 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best[total]
 
 
-def plan_partitions(sample: np.ndarray, total: int, radius: int = RADIUS) -> list[tuple[list[int], int]]:
+def plan_partitions(sample: np.ndarray, total: int, radius: int = RADIUS, pair_cost: float = 1.0) -> list[tuple[list[int], int]]:
     """The partitions to probe, each with its threshold: the cheapest plan over 1 to radius + 2 partitions."""
     plans = []
     for parts in range(1, radius + 3):
         groups = grouped_bits(sample, parts)
-        costs = [[estimated_cost(sample, g, t, total) for t in range(-1, radius + 1)] for g in groups]
+        costs = [[estimated_cost(sample, g, t, total, pair_cost) for t in range(-1, radius + 1)] for g in groups]
         cost, chosen = allocate(costs, radius - parts + 1)
         plans.append((cost, [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0]))
     return min(plans, key=lambda p: p[0])[1]
@@ -179,13 +183,152 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, s
     share = min(1.0, sample / total)
     chosen = nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).select("fp").limit(2 * sample).toPandas()["fp"]
     plan = plan_partitions(chosen.to_numpy(dtype=np.int64).view(np.uint64), total, radius)
-    root = components(links(nodes.select("fp"), plan, radius), "simhash")
+    return with_components(prints, nodes, components(links(nodes.select("fp"), plan, radius), "simhash"))
+
+
+def with_components(prints: DataFrame, nodes: DataFrame, root: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of each row of ``prints``, given the roots of linked fingerprints."""
     rooted = nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     least = root.join(nodes.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("first_doc").alias("component_id"))
     of = rooted.join(least, "root", "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "first_doc").alias("component_id"))
     return prints.join(of, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
 
 
+# --- similar texts: wide radius, then exact similarity --------------------------------------------------------------
+
+#: Fingerprints of word pairs keep similar texts close: at a similarity of 0.8 nearly all differ in at most NEAR bits,
+#: while those of unrelated texts differ in 15 at least.
+PAIR_WORDS = 2
+NEAR = 11
+SHINGLE = 5
+SIMILAR = 0.8
+#: Members of a bucket that one task compares.
+MEMBERS = 400_000
+CLOSEST = 16
+#: A comparison in numpy beside a shuffled row.
+PAIR_COST = 1 / 300
+
+
+def candidates(members: np.ndarray, indexed: np.ndarray, radius: int, closest: int = CLOSEST) -> list[tuple[int, int]]:
+    """Pairs within ``radius``, one of them indexed in the bucket.
+
+    All of them, unless they are more than ``2 * closest`` a member: then each member's ``closest`` nearest, and a
+    spanning forest that connects all that the pairs connect. So a large group of copies gives no square of its size.
+    """
+    hits = []
+    block = max(1, 2_000_000 // max(1, len(members)))
+    for at in range(0, len(indexed), block):
+        distance = np.bitwise_count(indexed[at : at + block, None] ^ members[None, :])
+        row, col = np.nonzero((distance <= radius) & (distance > 0))
+        if len(row):
+            hits.append(np.stack([distance[row, col].astype(np.int64), row + at, col]))
+    if not hits:
+        return []
+    found = np.concatenate(hits, axis=1)
+    found = found[:, np.argsort(found[0], kind="stable")]
+    values, place = np.unique(np.concatenate([indexed[found[1]], members[found[2]]]), return_inverse=True)
+    left, right = place[: found.shape[1]], place[found.shape[1] :]
+    keep = np.ones(len(left), dtype=bool)
+    if len(left) > 2 * closest * len(values):
+        both = np.concatenate([left, right])
+        pair = np.concatenate([np.arange(len(left))] * 2)
+        order = np.lexsort((pair, both))
+        starts = np.searchsorted(both[order], np.arange(len(values)))
+        rank = np.arange(len(both)) - starts[both[order]]
+        keep[:] = False
+        keep[pair[order][rank < closest]] = True
+        label = np.arange(len(values))
+        for k in np.flatnonzero(keep):  # what the nearest pairs connect already
+            a, b = label[left[k]], label[right[k]]
+            if a != b:
+                label[label == max(a, b)] = min(a, b)
+        rest = np.flatnonzero(label[left] != label[right])
+        while len(rest):
+            a, b = label[left[rest[0]]], label[right[rest[0]]]
+            keep[rest[0]] = True
+            label[label == max(a, b)] = min(a, b)
+            rest = rest[label[left[rest]] != label[right[rest]]]
+    return list(zip(values[left[keep]].tolist(), values[right[keep]].tolist(), strict=True))
+
+
+def near_links(distinct: DataFrame, plan: list[tuple[list[int], int]], radius: int, members: int = MEMBERS) -> DataFrame:
+    """Pairs (a, b) of fingerprints at most ``radius`` bits apart, as ``candidates`` gives them for each bucket.
+
+    A fingerprint is indexed under its own value in each partition, and probes the values within the threshold. A bucket
+    of more than ``members`` is dealt to parts by hash; its smallest fingerprint goes to every part and connects them.
+    """
+    fp = F.col("fp")
+    keys = [F.struct(F.lit(p).alias("part"), fp.bitwiseAND(F.lit(_signed(mask_of(bits)))).bitwiseXOR(F.lit(_signed(flip))).alias("value"), F.lit(flip == 0).alias("own")) for p, (bits, t) in enumerate(plan) for flip in probes(bits, t)]
+    keyed = distinct.select("fp", F.inline(F.array(*keys)))
+    counts = keyed.groupBy("part", "value").agg(F.count("*").alias("n"), F.count_if("own").alias("owned"), F.min("fp").alias("least"))
+    worth = counts.filter((F.col("owned") > 0) & (F.col("n") > 1))
+    hot = written(worth.filter(F.col("n") > members).select("part", "value", "least", F.ceil(F.col("n") / members).cast("int").alias("parts")), "simhash-large")
+    dealt = keyed.join(hot, ["part", "value"], "left").withColumn("_deal", F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(fp == F.col("least"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))))
+    buckets = dealt.select("part", "value", F.explode("_deal").alias("_deal"), "fp", "own").groupBy("part", "value", "_deal").agg(F.collect_list("fp").alias("fps"), F.collect_list(F.when(F.col("own"), fp)).alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            fps, own = batch.column(0), batch.column(1)
+            for k in range(batch.num_rows):
+                every, indexed = (np.asarray(c[k].values.to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64) for c in (fps, own))
+                found += candidates(every, indexed, radius)
+            pairs = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    pairs = buckets.filter((F.size("own") > 0) & (F.size("fps") > 1)).select("fps", "own").mapInArrow(run, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def shingles_of(text: bytes, words: int = SHINGLE) -> np.ndarray:
+    """The hashes of the distinct shingles of a text, rising; a shorter text is one shingle."""
+    parts = text.lower().split()
+    n = max(1, len(parts) - words + 1) if parts else 0
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(parts[i : i + words]), SEED) for i in range(n)), dtype=np.uint64, count=n))
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILAR, words: int = SHINGLE, radius: int = NEAR, sample: int = SAMPLE) -> DataFrame:
+    """doc_id and component_id of each row, where texts link if their sets of ``words``-word shingles have a Jaccard
+    similarity of at least ``similarity``.
+
+    Candidates are fingerprints of word pairs within ``radius`` bits, found by the generalised pigeonhole principle;
+    each link is then verified on whole texts. Texts of equal fingerprints count as one.
+    """
+    prints = written(fingerprints(docs, PAIR_WORDS), "similar")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "similar-nodes")
+    total = nodes.count()
+    if total == 0:
+        return prints.select("doc_id", F.col("doc_id").alias("component_id"))
+    share = min(1.0, sample / total)
+    chosen = nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).select("fp").limit(2 * sample).toPandas()["fp"]
+    plan = plan_partitions(chosen.to_numpy(dtype=np.int64).view(np.uint64), total, radius, PAIR_COST)
+    pairs = written(near_links(nodes.select("fp"), plan, radius), "similar-candidates")
+
+    asked = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct().join(nodes, "fp")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(asked.select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [t.as_py() or b"" for t in batch.column(0).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([fingerprint(t, PAIR_WORDS) for t in raw], dtype=np.uint64).view(np.int64)), pa.array([shingles_of(t, words).tobytes() for t in raw], pa.binary())], ["fp", "shingles"])
+
+    sets = written(texts.select("text").mapInArrow(run, "fp long, shingles binary").groupBy("fp").agg(F.min("shingles").alias("shingles")), "similar-shingles")
+    sides = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(both >= similarity * (len(one) + len(two) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    root = components(sides.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "similar")
+    return with_components(prints, nodes, root).select("doc_id", "component_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

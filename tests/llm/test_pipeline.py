@@ -32,7 +32,7 @@ def test_decisions_take_effect(spark, folder, staged):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     gone = ids[0] - ids[1]
     assert gone and all(labels.get(d, 1) == 1 for d in gone)
-    components = simhash.near_duplicates(staged[1][1]).collect()
+    components = simhash.similar_documents(staged[1][1]).collect()
     assert ids[2] == {r["component_id"] for r in components}
     hits = decontaminate.decontaminate(staged[2][1], spark.read.parquet(f"{folder}/benchmark.parquet")).collect()
     assert ids[3] == {r["doc_id"] for r in hits if not r["n_hit"]}

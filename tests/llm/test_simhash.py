@@ -116,3 +116,61 @@ def test_query_against_all_pairs(spark, folder):
     assert all(got[i]["fingerprint"] == f"{fps[i]:016x}" for i in ids)
     roots = union_find([fps[i] for i in ids], 2)
     assert [got[i]["component_id"] for i in ids] == [ids[r] for r in roots]
+
+
+def jaccard(a, b):
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("members", [20_000, 40])
+def test_similar_documents(spark, monkeypatch, members):
+    rng = random.Random(6)
+    vocabulary = ["w%d" % i for i in range(400)]
+    texts = []
+    for k in range(12):
+        words = rng.choices(vocabulary, k=rng.randint(60, 200))
+        texts.append(" ".join(words))
+        for _ in range(3 if k else 12):  # copies with one or two words changed, twelve of the first text
+            copy = list(words)
+            for _ in range(rng.randint(1, 2)):
+                copy[rng.randrange(len(copy))] = "changed"
+            texts.append(" ".join(copy))
+    texts += ["", None, "one two", "One  TWO", "unlike anything else here"]
+    df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] + [(None, texts[0], "c"), (3, texts[3], "c")], "doc_id long, text string, component_id string")
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    monkeypatch.setattr(simhash.near_links, "__defaults__", (members,))
+    got = simhash.similar_documents(df).collect()
+    assert len(got) == len(texts) + 2
+    by = {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None}
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i] or "", texts[j] or "") >= 0.8]
+    assert sum(by[i] == by[j] for i, j in linked) >= 0.95 * len(linked)
+    root = list(range(len(texts)))
+    for i, j in linked:
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    assert all(root[i] == root[by[i]] for i in by)  # nothing else is joined
+    assert simhash.similar_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("closest", [16, 1])
+def test_candidates_connect_what_is_near(closest):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    members = np.unique(np.concatenate([base, base ^ np.uint64(5), base ^ np.uint64(1 << 40), base[:1] ^ np.arange(64, dtype=np.uint64)]))
+    pairs = simhash.candidates(members, members, 3, closest)
+    root = {int(m): int(m) for m in members}
+    for a, b in pairs:
+        assert (a ^ b).bit_count() <= 3
+        x, y = root[a], root[b]
+        root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    expected = union_find(members.tolist(), 3)
+    assert len(set(root.values())) == len(set(expected))
+    near = sum(bin(int(a) ^ int(b)).count("1") <= 3 for i, a in enumerate(members) for b in members[:i])
+    assert len({frozenset(p) for p in pairs}) <= near
+    assert (len({frozenset(p) for p in pairs}) < near) == (closest == 1)
+    assert simhash.candidates(base[:0], base[:0], 3) == []
