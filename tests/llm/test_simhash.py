@@ -174,3 +174,53 @@ def test_candidates_connect_what_is_near(closest):
     assert len({frozenset(p) for p in pairs}) <= near
     assert (len({frozenset(p) for p in pairs}) < near) == (closest == 1)
     assert simhash.candidates(base[:0], base[:0], 3) == []
+
+
+def groups(got):
+    out = {}
+    for r in got:
+        out.setdefault(r["component_id"], set()).add(r["doc_id"])
+    return sorted(map(sorted, out.values()))
+
+
+def expected_groups(texts):
+    """The components of all links, by brute force over all pairs."""
+    sets = [(lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())((t or "").lower().split()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(x & y)
+            if both >= 0.8 * (len(x) + len(y) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    out = {}
+    for i in range(len(texts)):
+        out.setdefault(find(i), []).append(i)
+    return sorted(out.values())
+
+
+def joined(spark, texts, **more):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return groups(simhash.similar_documents(df, **more).collect())
+
+
+@pytest.mark.parametrize("more", [{}, {"block": 50, "stars": 0}])
+def test_links_of_a_template_group(spark, more):
+    rng = random.Random(11)
+    template = ["t%d" % i for i in range(300)]
+    texts = []
+    for _ in range(150):
+        words = list(template)
+        for at in rng.sample(range(300), 9):
+            words[at] = "v%d" % rng.randrange(10**6)
+        texts.append(" ".join(words))
+    texts += [t + " " + " ".join("a%d" % rng.randrange(10**6) for _ in range(60)) for t in texts[:40]]
+    expected = expected_groups(texts)
+    assert 10 < len(expected) < len(texts)
+    assert joined(spark, texts, **more) == expected
