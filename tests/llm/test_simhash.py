@@ -224,3 +224,17 @@ def test_links_of_a_template_group(spark, more):
     expected = expected_groups(texts)
     assert 10 < len(expected) < len(texts)
     assert joined(spark, texts, **more) == expected
+
+
+def test_links_of_added_and_repeated_passages(spark):
+    rng = random.Random(12)
+    fresh = lambda n: ["w%d" % rng.randrange(10**6) for _ in range(n)]
+    texts = []
+    for k in range(100):
+        words = fresh(40 if k % 2 else 100)
+        texts += [" ".join(words), " ".join(words + fresh(len(words) * (12 + k % 12) // 100))]
+        words = fresh(60)
+        texts += [" ".join(words), " ".join(words + words[30:] * 5)]
+    expected = expected_groups(texts)
+    assert len(expected) < len(texts) / 2 + 20
+    assert joined(spark, texts) == expected
