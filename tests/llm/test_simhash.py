@@ -238,3 +238,11 @@ def test_links_of_added_and_repeated_passages(spark):
     expected = expected_groups(texts)
     assert len(expected) < len(texts) / 2 + 20
     assert joined(spark, texts) == expected
+
+
+def test_equal_fingerprints_are_no_links(spark):
+    rng = random.Random(13)
+    texts = ["- " * 200 + " ".join("w%d" % rng.randrange(10**6) for _ in range(60)) for _ in range(6)]
+    assert len({simhash.fingerprint(t.encode(), 2) for t in texts}) == 1
+    texts += [texts[0] + " more", texts[0].upper()]
+    assert joined(spark, texts) == expected_groups(texts) == [[0, 6, 7], [1], [2], [3], [4], [5]]
