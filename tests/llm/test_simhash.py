@@ -246,3 +246,18 @@ def test_equal_fingerprints_are_no_links(spark):
     assert len({simhash.fingerprint(t.encode(), 2) for t in texts}) == 1
     texts += [texts[0] + " more", texts[0].upper()]
     assert joined(spark, texts) == expected_groups(texts) == [[0, 6, 7], [1], [2], [3], [4], [5]]
+
+
+def test_parts_of_a_large_group_meet(spark):
+    rng = random.Random(14)
+    words = ["w%d" % i for i in range(120)]
+    texts = [" ".join(words)]
+    for k in range(39):  # a chain: each text is near its neighbours only
+        words[3 * k] = "v%d" % rng.randrange(10**6)
+        texts.append(" ".join(words))
+    order = rng.sample(range(len(texts)), len(texts))
+    texts = [texts[i] for i in order]
+    df = spark.createDataFrame([(1, i, 120, 5, i, 40) for i in range(40)], "shingle long, fp long, size long, place long, label long, n long")
+    pairs = {(r["a"], r["b"]) for r in simhash.cross_pairs(df, 0.8, 7).collect()}
+    assert pairs == {(i, j) for j in range(40) for i in range(j)}
+    assert joined(spark, texts, block=7, stars=0) == expected_groups(texts) == [list(range(40))]
