@@ -46,15 +46,18 @@ AWAY = frozenset("nav footer aside form button dialog menu".split())
 AWAY_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus dialog footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: First words that say that something else is there or not; last words that name a place for what stands before them.
+STATES = frozenset("has have no not with without".split())
+PLACES = frozenset("area bar block box buttons form item items links list panel section".split())
 MAIN = frozenset("article main".split())
 MAIN_WORDS = frozenset("article content main post entry story body text".split())
 
 
 class Element:
-    __slots__ = ("away", "links", "main", "parent", "path", "score", "tag")
+    __slots__ = ("away", "links", "main", "parent", "path", "score", "soft", "tag")
 
-    def __init__(self, tag: str, path: str, parent: Element | None, away: bool, main: bool):
-        self.tag, self.path, self.parent, self.away, self.main = tag, path, parent, away, main
+    def __init__(self, tag: str, path: str, parent: Element | None, away: bool, main: bool, soft: bool = False):
+        self.tag, self.path, self.parent, self.away, self.main, self.soft = tag, path, parent, away, main, soft
         self.score, self.links = 0.0, 0
 
 
@@ -62,6 +65,18 @@ def _names(attrs: str, pattern: re.Pattern[str]) -> list[str]:
     return [w for m in pattern.finditer(attrs) for w in (m[1] or m[2] or m[3] or "").lower().split()]
 
 
+_MAIN_PATH = re.compile(r"(?:.*>|^>)(?:article|main)(?:\.[^>]*)?(?=>|\Z)", re.DOTALL)
+
+
+def _away(name: str) -> bool:
+    """Whether a class, id or role names something away: by its first word or by its head, the last word but places."""
+    words = _WORD.findall(name)
+    head = [*words]
+    while len(head) > 1 and head[-1] in PLACES:
+        head.pop()
+    return bool(words) and (words[0] in AWAY_WORDS or (head[-1] in AWAY_WORDS and words[0] not in STATES))
+
+
 def events(html: str) -> Iterator[tuple[Element, str, bool]]:
     """(element, text, starts a block) for each stretch of text of the page, in order; away text is left out."""
     root = Element("", "", None, False, False)
@@ -109,15 +124,20 @@ def events(html: str) -> Iterator[tuple[Element, str, bool]]:
                     break
         up, attrs = stack[-1], m["attrs"] or ""
         inline = tag in INLINE
-        words = {w for n in _names(attrs, _NAMES) for w in _WORD.findall(n)} if "=" in attrs else set()
+        names = _names(attrs, _NAMES) if "=" in attrs else []
+        words = {w for n in names for w in _WORD.findall(n)}
         inside = up.main or tag in MAIN
-        away = up.away or tag in AWAY or (tag == "header" and not inside) or (bool(words & AWAY_WORDS) and tag not in ("body", "html", "article", "main"))
+        named = [n for n in names if _away(n)] if tag not in ("body", "html", "article", "main") else []
+        hard = (up.away and not up.soft) or tag in AWAY or (tag == "header" and not inside) or any(n in AWAY_WORDS for n in named)
+        # a layout's class may name the sidebar beside the article that it wraps: the first article in it counts
+        found = tag in MAIN and up.soft and not _MAIN_PATH.match(up.path)
+        away = hard or bool(named) or (up.away and not found)
         path = up.path
         if not inline:
             classes = sorted({re.sub(r"\d+", "", c) for c in _names(attrs, _CLASS)}) if "=" in attrs else []
             path = f"{path}>{'.'.join([tag, *classes])}"
             fresh = True
-        stack.append(Element(tag, path, up, away, inside or bool(words & MAIN_WORDS)))
+        stack.append(Element(tag, path, up, away, inside or bool(words & MAIN_WORDS), away and not hard))
     yield from text(len(html))
 
 
@@ -136,7 +156,7 @@ def _linked(e: Element) -> bool:
 
 
 def best_path(html: str) -> str | None:
-    """The path of the container that scores best, or None without any text."""
+    """The path of the container that scores best, or of the article or main element around it; None without any text."""
     found: dict[int, Element] = {}
     for e, raw, _ in events(html):
         n = len(raw.strip())
@@ -164,7 +184,8 @@ def best_path(html: str) -> str | None:
     by: dict[str, float] = {}
     for e in found.values():
         by[e.path] = by.get(e.path, 0.0) + value(e)
-    return max(by, key=lambda p: (by[p], p))
+    best = max(by, key=lambda p: (by[p], p))
+    return m[0] if (m := _MAIN_PATH.match(best)) else best  # what else the article holds beside its best container
 
 
 def extract(html: str, path: str) -> str:

@@ -57,3 +57,16 @@ def test_query(spark, folder):
         blocks = (" ".join(unescape(re.sub("<[^>]*>", " ", b.replace("<b>", "").replace("</b>", ""))).split()) for b in re.split("</?(?:p|h1)>", article))
         assert got[r["page_id"]]["text"] == "\n\n".join(b for b in blocks if b)
         assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
+
+
+def test_a_wrapper_keeps_the_rest_of_the_article():
+    page = "<html><body><article><h1>Title</h1><p>lead</p><div class='entry-content'><p>" + "long text, with words, " * 30 + "end</p></div></article><div class='list'><p>other</p></div></body></html>"
+    got = main_text(page, [])
+    assert got.startswith("Title\n\nlead\n\nlong text") and got.endswith("end")
+    assert best_path(page).endswith(">article")
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-comments", "sidebar-right"])
+def test_layout_classes_around_an_article(name):
+    page = f"<body><div class='{name}'><article><h1>Title</h1><p>Some text, with words.</p><div class='comments-area'><article><p>A reader, at length, says, more.</p></article></div></article><div class='sidebar'><p>aside</p></div></div></body>"
+    assert main_text(page, []) == "Title\n\nSome text, with words."
