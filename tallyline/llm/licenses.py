@@ -79,6 +79,9 @@ TEMPLATES = (
     Template("CC0-1.0", "This work is released under CC0 1.0 Universal, dedicated to the public domain.", ("cc0",)),
 )
 
+#: Words of the longest template.
+LONGEST = max(len(t.text.split()) for t in TEMPLATES)
+
 _WORD = re.compile(r"[0-9a-z]+")
 
 
@@ -86,21 +89,51 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks_of(text: str) -> list[str]:
-    """Candidate blocks of a text: trigger lines, joined with what stands between those at most GAP lines apart."""
-    lines = text.split("\n")
+def _groups(lines: list[str]) -> list[tuple[int, int]]:
+    """The first and last of the trigger lines that are at most GAP lines apart."""
     lowered = [line.lower().encode() for line in lines]
     at = [i for i, low in enumerate(lowered) if any(t in low for t in TRIGGERS)]
     out, start = [], None
     for k, i in enumerate(at):
         start = i if start is None else start
         if k + 1 == len(at) or at[k + 1] - i > GAP:
-            span = lines[start : i + 1]
-            out += _windows("\n".join(span))
+            out.append((start, i))
             start = None
     return out
 
 
+def blocks_of(text: str) -> list[str]:
+    """Candidate blocks of a text: trigger lines, joined with what stands between those at most GAP lines apart."""
+    lines = text.split("\n")
+    return [w for a, b in _groups(lines) for w in _windows("\n".join(lines[a : b + 1]))]
+
+
+def around_of(text: str) -> list[str]:
+    """The candidate blocks with as many words of the lines on both sides as the longest template has.
+
+    A notice that is wrapped over lines has words on lines without a trigger.
+    """
+    lines, out = text.split("\n"), []
+    for a, b in _groups(lines):
+        before: list[str] = []
+        for k in range(a - 1, -1, -1):
+            if len(before) >= LONGEST:
+                break
+            before = lines[k].split()[-LONGEST:] + before
+        after: list[str] = []
+        for k in range(b + 1, len(lines)):
+            if len(after) >= LONGEST:
+                break
+            after += lines[k].split()[:LONGEST]
+        if before or after:
+            # of the block, the words at its ends; what lies further inside is compared without its surroundings
+            own = "\n".join(lines[a : b + 1]).split()
+            parts = [own] if len(own) <= 2 * LONGEST else [own[:LONGEST], own[-LONGEST:]]
+            joined = [before[-LONGEST:] + own + after[:LONGEST]] if len(parts) == 1 else [before[-LONGEST:] + parts[0], parts[1] + after[:LONGEST]]
+            out += [" ".join(w) for w in joined]
+    return out
+
+
 def _windows(block: str) -> list[str]:
     """The block, or if it is long a narrow window around each group of triggers, and wide overlapping ones."""
     words = block.split()
@@ -177,6 +210,10 @@ def scan(docs: DataFrame) -> DataFrame:
                 low = bytes(raw).lower() if raw is not None else b""
                 mine = blocks_of(low.decode()) if any(t in low for t in TRIGGERS) else []
                 results = [scanner.licenses(b) for b in mine]
+                known = set().union(*[r[0] for r in results])
+                for found in map(scanner.licenses, around_of(low.decode()) if mine else []):
+                    if found[0] - known:
+                        results.append(found)
                 blocks.append(len(mine))
                 names.append(sorted(set().union(*[r[0] for r in results])))
                 saved.append(max((r[1] for r in results), default=0.0))

@@ -78,6 +78,14 @@ def test_license_rows(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_wrapped_notices(spark):
+    gpl = "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version. */"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."
+    texts = [gpl, "words before\n\n" + gpl + "\n" + "words after\n" * 300, mpl, "filler\n" * 300 + mpl + "\nmore", "any later version\nof this licence\nis free software"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["licenses"] for r in sorted(got, key=lambda r: r["doc_id"])] == [["GPL-3.0-or-later"]] * 2 + [["MPL-2.0"]] * 2 + [[]]
+
+
 def test_license_query(spark, folder):
     got = {r["doc_id"]: r["licenses"] for r in licenses.op9_licenses(spark, folder).collect()}
     lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
