@@ -40,7 +40,9 @@ EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.
 IPV4 = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 CARD = r"(?<![\d.\p{L}])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d\p{L}])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[.-]\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])"
+#: With a country code; North American; national ones with a trunk prefix 0. Seven digits at least where groups vary.
+PHONE = r"(?<![\w+])\+(?=(?:[ .()-]{0,2}\d){7})\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?(?:\d[ .-])?(?:\d{2}(?:[ .-]\d{2}){3,4}|\d{2,4}(?:[ .-]?\d{2,4}){1,3})(?!\d)|(?<![\w.,+-])0(?=(?:[ ./-]?\d){6,11}(?![\d]))(?:\d(?:[ .-]\d{2}){4}|[1-9]\d{8}|\d{1,4}[ /-]\d{3,8}|\d{1,4}[ /-]\d{3,4}[ -]\d{3,4})(?![\w-])|(?<![\w.,(+-])(?:1[ .-])?[2-9]\d{2} \d{3}[ -]\d{4}(?![\w-])|(?<![\w(])\(\d{3}\) ?\d{3} \d{4}(?!\d)|"
+PHONE += r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[.-]\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])"
 TOKEN_HEAD = r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 TOKEN = rf"(?<!\p{{L}}){TOKEN_HEAD}[A-Za-z0-9_+/-]{{16,}}+|(?<![\w-])(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,}}+)(?!\w)"
 #: Titles that show a gender.

@@ -97,3 +97,14 @@ def test_query_has_no_python(spark, folder):
     old = {m for t in before.values() for m in mail.findall(t or "")}
     assert old and not old & {m for r in after for m in mail.findall(r["text"])}
     assert all(r["text"] == before[r["doc_id"]] for r in after if not r["n_values"])
+
+
+def test_phone_numbers_of_other_countries(spark):
+    phones = ["+33 1 23 45 67 89", "+33 6 12 34 56 78", "+33 (0)1 23 45 67 89", "+47 22 33 44 55", "+49 30 1234567", "01 23 45 67 89", "06.12.34.56.78", "0612345678", "030 1234567", "030/1234567", "020 7946 0958", "555 123 4567", "(212) 555 1234"]
+    other = ["on 01.02.2020 and 2020-01-02", "0.0123456789 of 1 234 567", "at 05:30 on 05/2020", "0 1 2 3 4 5 6 7 8 9"]
+    got = done(spark, [f"call {p}, now" for p in phones] + other)
+    for i, p in enumerate(phones):
+        assert got[i]["told"] == ["phone"], p
+        assert p not in got[i]["text"] and re.sub(r"\d", "9", got[i]["text"]) == re.sub(r"\d", "9", f"call {p}, now")
+    assert [got[len(phones) + i]["text"] for i in range(len(other))] == other
+    assert got[0]["text"].startswith("call +33 ")
