@@ -2,15 +2,17 @@
 
 Features are hashed trigrams of letters (UTF-8 bytes, lower case, everything else a blank), as frequencies over the whole
 text. Machines between families, and between the languages of one family, are trained in numpy on a bounded sample
-(``SAMPLE`` texts of each language at most), by accelerated gradient descent on the squared hinge loss. A text gets the
+(``SAMPLE`` texts of each language at most, fewer if there are very many languages), by accelerated gradient descent on the squared hinge loss. A text gets the
 family that wins most comparisons, then the language that wins most within it; ties go to the larger sum of margins.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 1; without training rows every text is ``und``
-with score 0; a language that ``FAMILIES`` doesn't name is a family of its own; repeated rows get a row each.
+with score 0; a language that ``FAMILIES`` doesn't name is a family of its own, or with those
+nearest to it if there are more than ``MOST``; repeated rows get a row each.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,7 +27,11 @@ from .common import crc32_mod, per_worker, read_table
 
 BITS = 13
 SAMPLE = 600
-LANGUAGES = 64
+#: Training texts of all languages together, and of one language at least.
+TEXTS = 64 * SAMPLE
+LEAST = 40
+#: Families at most; beyond, languages that no family names are put together.
+MOST = 64
 CHUNK = 2_000_000
 
 #: Families of common languages.
@@ -122,10 +128,33 @@ class Model:
         return language, p * q
 
 
+def grouped(x: np.ndarray, langs: list[str], most: int = MOST) -> dict[str, str]:
+    """The family of each language. Beyond ``most`` families the nearest by mean frequencies go together, as evenly as
+    the bound needs, so that machines don't grow with the square of the languages."""
+    named = {lang: FAMILY_OF.get(lang, lang) for lang in sorted(set(langs))}
+    of = np.array(langs)
+    own = [lang for lang in named if lang not in FAMILY_OF]
+    free = max(1, most - len({f for lang, f in named.items() if lang in FAMILY_OF}))
+    if len(own) <= free:
+        return named
+    means = np.stack([x[of == lang].mean(axis=0) for lang in own])
+    means /= np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
+    left = list(range(len(own)))
+    for k in range(free, 0, -1):
+        near = sorted(left, key=lambda i: (-float(means[left[0]] @ means[i]) if i != left[0] else -np.inf, i))[: -(-len(left) // k)]
+        for i in near:
+            named[own[i]] = f"like {own[near[0]]}"
+        left = [i for i in left if i not in near]
+        if not left:
+            break
+    return named
+
+
 def fit(x: np.ndarray, langs: list[str]) -> Model | None:
     if not langs:
         return None
-    family = [FAMILY_OF.get(lang, lang) for lang in langs]
+    families = grouped(x, langs)
+    family = [families[lang] for lang in langs]
     names = {f: sorted({lang for lang, g in zip(langs, family, strict=True) if g == f}) for f in sorted(set(family))}
     model = Model(sorted(names), names)
     columns, bias = [], []
@@ -176,15 +205,18 @@ def margins_of(texts: list[str], model: Model) -> np.ndarray:
     return sums / np.maximum(1, counts)[:, None] + model.bias
 
 
-def trained(docs: DataFrame, keep: F.Column, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model | None:
-    """The machines for the ``languages`` most frequent languages, from rows where ``keep``, drawn by a hash of doc_id."""
+def trained(docs: DataFrame, keep: F.Column, sample: int = SAMPLE, texts: int = TEXTS) -> Model | None:
+    """The machines for all languages, from rows where ``keep``, drawn by a hash of doc_id.
+
+    About ``sample`` texts of each language, fewer if all would be more than ``texts``, but ``LEAST`` at least.
+    """
     told = docs.filter(keep & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in told.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    counts = {r["lang"]: r["n"] for r in told.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, sample / n) * (1 << 30)))).otherwise(share)
+    sample = min(sample, max(LEAST, texts // len(counts)))
+    share = F.lit(json.dumps({lang: int(min(1.0, sample / n) * (1 << 30)) for lang, n in counts.items()}))
+    share = F.from_json(share, "map<string,long>")[F.col("lang")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

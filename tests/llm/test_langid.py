@@ -66,3 +66,17 @@ def test_query(spark, folder):
     got = langid.op4_langid(spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = got.filter("held_out").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in held]) > 0.9
+
+
+def test_all_languages_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid.grouped, "__defaults__", (12,))
+    monkeypatch.setattr(langid.svm, "__defaults__", (1e-3, 12))  # few steps, for time
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:02d}": ["".join(rng.choices(letters, k=6)) for _ in range(6)] for k in range(70)}
+    rows = [(i, " ".join(rng.choices(words[lang], k=12)), lang) for i, lang in enumerate(list(words) * 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.trained(df, F.lit(True))
+    assert sorted(lang for f in model.languages.values() for lang in f) == sorted(words) and len(model.families) <= 12
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.95
