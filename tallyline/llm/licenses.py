@@ -1,13 +1,20 @@
 """License scans by conditional compression.
 
-Lines with a word that licenses use, and what stands between such lines, are candidate blocks. A block is compressed
-alone and with each template as a zstandard raw dictionary; the bytes that the dictionary saves, as a share of what the
-template takes alone, rank the templates. The best ones are confirmed by wording: a template's words must appear in order with few differences, and
-none of its distinctive words may be missing.
-
-Defined cases: a null or empty text has no blocks; repeated rows get a row each; a block of any length is cut into
-windows of ``WINDOW`` words that overlap by half, so that none is too long to compare; an empty table gives an empty
-result.
+Lines with a word that licenses use, those between trigger lines close to each other, and as many words on both sides as
+the longest template has are a candidate block; blocks longer than a window are cut into windows that overlap by more
+than the longest template, so that each notice stands whole in one of them. A window is compressed alone and with each
+template as a zstandard raw dictionary; the templates are ranked by the bytes that they save.
+
+Every template that saves any is held against the exact wording: all of its words are aligned with a stretch of the
+window, and the differences are the words inserted and deleted. Too many differences, a distinctive word that is
+missing, or a difference in a word that tells variants apart ("lesser", "nc", a version number) refuse it. The
+confirmed template that explains most words wins, ties by rank; its words are taken out, the rest is compressed again,
+and so on until nothing is confirmed. So notices that stand together are each found by their own words.
+
+Defined cases: a null or empty text has no blocks; repeated rows get a row each; a very long text is scanned whole;
+templates that explain equally many words go by saved bytes, then by their place in the list; a license found in two
+windows is reported once, with its fewest differences; an empty table gives an empty result; extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -15,23 +22,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import per_worker, read_table
 
-#: Words that stand in license notices.
-TRIGGERS = (b"licen", b"copyright", b"warrant", b"permission is hereby", b"redistribution", b"cc by", b"cc0", b"spdx", b"creative commons", b"public domain")
-_STEMS = tuple(t.split()[0] for t in TRIGGERS)
+#: Beginnings of words that stand in license notices.
+TRIGGERS = (b"licen", b"copyright", b"warrant", b"permission", b"redistribut", b"cc by", b"cc-by", b"cc0", b"spdx", b"creative commons", b"public domain")
 GAP = 3
-WINDOW = 240
-NARROW = 12
-RANKED = 5
-LEAST_SAVED = 0.2
+#: The share of a template's words that must stand in order, and insertions at most as a share of its words.
 LEAST_WORDING = 0.9
+MOST_INSERTED = 0.25
 
 
 @dataclass(frozen=True)
@@ -42,7 +46,7 @@ class Template:
 
 
 #: Public license notices, by SPDX identifier, with the words that tell them apart.
-TEMPLATES = (
+NOTICES = (
     Template("MIT", "Released under the MIT License.", ("mit",)),
     Template("MIT", "This project is licensed under the MIT License, see the LICENSE file for details.", ("mit",)),
     Template(
@@ -56,22 +60,46 @@ TEMPLATES = (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         ("apache", "2", "0"),
     ),
-    Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", ("general", "public", "3")),
-    Template("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", ("general", "public", "2")),
     Template(
         "GPL-3.0-or-later",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         ("general", "public", "3", "later"),
     ),
+    Template(
+        "GPL-2.0-or-later",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        ("general", "public", "2", "later"),
+    ),
+    Template(
+        "AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        ("affero", "3", "later"),
+    ),
+    Template(
+        "LGPL-3.0-or-later",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        ("lesser", "3", "later"),
+    ),
     Template("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3.", ("lesser", "3")),
-    Template("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", ("affero", "3")),
-    Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla",)),
+    Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla", "2")),
+    Template(
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        ("redistribution", "retain", "reproduce"),
+    ),
+    Template(
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        ("redistribution", "retain", "reproduce", "neither", "endorse"),
+    ),
     Template(
         "BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         ("redistribution", "neither", "endorse"),
     ),
-    Template("BSD-3-Clause", "Licensed under the BSD 3-Clause License.", ("bsd", "3")),
+    Template("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ("fee", "appear")),
+    Template("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", ("fee",)),
+    Template("Unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered",)),
     Template("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ("cc", "nc", "4")),
     Template("CC-BY-4.0", "Licensed under CC BY 4.0.", ("cc", "by", "4")),
     Template("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", ("cc", "sa", "4")),
@@ -79,8 +107,24 @@ TEMPLATES = (
     Template("CC0-1.0", "This work is released under CC0 1.0 Universal, dedicated to the public domain.", ("cc0",)),
 )
 
-#: Words of the longest template.
-LONGEST = max(len(t.text.split()) for t in TEMPLATES)
+#: Names of licenses, in notices that say no more than "licensed under the ..." or give the identifier.
+NAMES = {
+    "MIT": "MIT License",
+    "Apache-2.0": "Apache License 2.0",
+    "GPL-2.0": "GNU General Public License, version 2",
+    "GPL-2.0-or-later": "GNU General Public License, version 2 or later",
+    "GPL-3.0": "GNU General Public License, version 3",
+    "GPL-3.0-or-later": "GNU General Public License, version 3 or later",
+    "LGPL-2.1": "GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0": "GNU Lesser General Public License, version 3",
+    "AGPL-3.0": "GNU Affero General Public License, version 3",
+    "MPL-2.0": "Mozilla Public License 2.0",
+    "BSD-2-Clause": "BSD 2-Clause License",
+    "BSD-3-Clause": "BSD 3-Clause License",
+    "BSL-1.0": "Boost Software License 1.0",
+}
+#: Words whose insertion or deletion makes another license of a notice.
+VARIANTS = frozenset("affero lesser nc nd sa noncommercial noderivatives sharealike later only not 0 1 2 3 4 5".split())
 
 _WORD = re.compile(r"[0-9a-z]+")
 
@@ -89,140 +133,192 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _groups(lines: list[str]) -> list[tuple[int, int]]:
-    """The first and last of the trigger lines that are at most GAP lines apart."""
-    lowered = [line.lower().encode() for line in lines]
-    at = [i for i, low in enumerate(lowered) if any(t in low for t in TRIGGERS)]
-    out, start = [], None
-    for k, i in enumerate(at):
-        start = i if start is None else start
-        if k + 1 == len(at) or at[k + 1] - i > GAP:
-            out.append((start, i))
-            start = None
-    return out
+def _named(license: str, name: str) -> Iterator[Template]:
+    own = tuple(w for w in words_of(name) if w not in ("gnu", "license", "version", "or", "public", "general"))
+    for text in (f"This work is licensed under the {name}.", f"Licensed under the {name}.", f"Released under the {name}."):
+        yield Template(license, text, own)
+    yield Template(license, f"SPDX-License-Identifier: {license}", ("spdx", *words_of(license)))
 
 
-def blocks_of(text: str) -> list[str]:
-    """Candidate blocks of a text: trigger lines, joined with what stands between those at most GAP lines apart."""
-    lines = text.split("\n")
-    return [w for a, b in _groups(lines) for w in _windows("\n".join(lines[a : b + 1]))]
+TEMPLATES = NOTICES + tuple(t for license, name in NAMES.items() for t in _named(license, name))
 
+#: Words of the longest template, and of a window: a notice that is not cut by one stands whole in the next.
+LONGEST = max(len(words_of(t.text)) for t in TEMPLATES)
+WINDOW = 3 * LONGEST
+STEP = WINDOW - int(LONGEST * (1 + MOST_INSERTED)) - 1
 
-def around_of(text: str) -> list[str]:
-    """The candidate blocks with as many words of the lines on both sides as the longest template has.
 
-    A notice that is wrapped over lines has words on lines without a trigger.
-    """
-    lines, out = text.split("\n"), []
-    for a, b in _groups(lines):
+def blocks_of(text: str) -> list[list[str]]:
+    """The words of each candidate block: trigger lines and what is between or around them."""
+    lines = text.lower().split("\n")
+    at = [i for i, line in enumerate(lines) if any(t in line.encode() for t in TRIGGERS)]
+    groups: list[list[int]] = []
+    for i in at:
+        if groups and i - groups[-1][1] <= GAP:
+            groups[-1][1] = i
+        else:
+            groups.append([i, i])
+    out = []
+    for first, last in groups:
         before: list[str] = []
-        for k in range(a - 1, -1, -1):
+        for k in range(first - 1, -1, -1):
             if len(before) >= LONGEST:
                 break
-            before = lines[k].split()[-LONGEST:] + before
+            before = words_of(lines[k]) + before
         after: list[str] = []
-        for k in range(b + 1, len(lines)):
+        for k in range(last + 1, len(lines)):
             if len(after) >= LONGEST:
                 break
-            after += lines[k].split()[:LONGEST]
-        if before or after:
-            # of the block, the words at its ends; what lies further inside is compared without its surroundings
-            own = "\n".join(lines[a : b + 1]).split()
-            parts = [own] if len(own) <= 2 * LONGEST else [own[:LONGEST], own[-LONGEST:]]
-            joined = [before[-LONGEST:] + own + after[:LONGEST]] if len(parts) == 1 else [before[-LONGEST:] + parts[0], parts[1] + after[:LONGEST]]
-            out += [" ".join(w) for w in joined]
+            after += words_of(lines[k])
+        own = [w for line in lines[first : last + 1] for w in words_of(line)]
+        out.append(before[max(0, len(before) - LONGEST) :] + own + after[:LONGEST])
     return out
 
 
-def _windows(block: str) -> list[str]:
-    """The block, or if it is long a narrow window around each group of triggers, and wide overlapping ones."""
-    words = block.split()
-    if len(words) <= 2 * NARROW:
-        return [block]
-    marked = [i for i, w in enumerate(words) if any(t in w.lower().encode() for t in _STEMS)]
-    groups: list[list[int]] = []
-    for i in marked:
-        if groups and i - groups[-1][-1] <= NARROW // 2 and i - groups[-1][0] <= NARROW:
-            groups[-1].append(i)
+def windows_of(block: list[str]) -> list[list[str]]:
+    return [block[a : a + WINDOW] for a in range(0, max(1, len(block) - (WINDOW - STEP)), STEP)]
+
+
+def aligned(template: np.ndarray, window: np.ndarray) -> list[tuple[int, int]] | None:
+    """Pairs (place in the template, place in the window) of the best alignment of the whole template.
+
+    A matched word counts 1, a deleted or inserted one -1; words of number -1 in the window are taken and can't be
+    crossed. None if nothing matches.
+    """
+    m, n = len(template), len(window)
+    cost = np.concatenate([[0], np.cumsum(np.where(window < 0, 4 * m, 1))])
+    best = np.zeros((m + 1, n + 1), dtype=np.int64)
+    for i in range(1, m + 1):
+        row = best[i - 1] - 1
+        row[1:] = np.maximum(row[1:], np.where(window == template[i - 1], best[i - 1, :-1] + 1, row[1:]))
+        best[i] = np.maximum.accumulate(row + cost) - cost if i < m else row
+    j = int(np.argmax(best[m]))
+    out, i = [], m
+    while i > 0:
+        if j > 0 and window[j - 1] == template[i - 1] and best[i, j] == best[i - 1, j - 1] + 1:
+            out.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
+        elif best[i, j] == best[i - 1, j] - 1:
+            i -= 1
         else:
-            groups.append([i])
-    narrow = [" ".join(words[max(0, g[0] - NARROW) : g[-1] + NARROW + 1]) for g in groups]
-    wide = [words[a : a + WINDOW] for a in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2)]
-    return narrow + [" ".join(w) for w in wide if any(t in " ".join(w).lower().encode() for t in TRIGGERS)]
+            j -= 1
+    return out[::-1] or None
+
+
+@dataclass(frozen=True)
+class Found:
+    license: str
+    saved: float  # the bytes saved, as a share of the template's own
+    wording: float  # the share of the template's words that stand in order
+    inserted: tuple[str, ...]
+    deleted: tuple[str, ...]
 
 
 class Scanner:
-    def __init__(self) -> None:
+    def __init__(self, templates: tuple[Template, ...] = TEMPLATES) -> None:
         import zstandard
 
+        self.templates = templates
         self.alone = zstandard.ZstdCompressor(level=9)
-        self.given = []
-        for t in TEMPLATES:
-            raw = zstandard.ZstdCompressionDict(t.text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.words = [words_of(t.text) for t in templates]
+        self.given, self.sizes = [], []
+        for words in self.words:
+            text = " ".join(words).encode()
+            raw = zstandard.ZstdCompressionDict(text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given.append(zstandard.ZstdCompressor(level=9, dict_data=raw))
-        self.sizes = [len(self.alone.compress(t.text.lower().encode())) for t in TEMPLATES]
-        self.words = [words_of(t.text) for t in TEMPLATES]
-
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """Templates by the compressed bytes that they save, as a share of their own, most first."""
-        raw = " ".join(block.lower().split()).encode()
+            self.sizes.append(len(self.alone.compress(text)))
+        self.needs = [frozenset(t.distinctive) for t in templates]
+        self.numbers: dict[str, int] = {}
+        self.coded = [np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words]) for words in self.words]
+
+    def ranked(self, words: list[str]) -> list[tuple[int, int]]:
+        """(saved bytes, template) of the templates that save any of the words' compressed bytes, most first."""
+        raw = " ".join(words).encode()
         size = len(self.alone.compress(raw))
-        return sorted((((size - len(c.compress(raw))) / self.sizes[k], k) for k, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
+        saved = [(size - len(c.compress(raw)), k) for k, c in enumerate(self.given)]
+        return sorted(((s, k) for s, k in saved if s > 0), key=lambda x: (-x[0], x[1]))
 
-    def wording(self, block: list[str], k: int) -> float:
-        """The share of the template's words that stand in the block in order, 0 if a distinctive one is missing."""
+    def confirmed(self, words: list[str | None], k: int, saved: int) -> tuple[int, list[int], Found] | None:
+        """Words explained less differences, the places taken, and the differences; None if the wording is another."""
         mine = self.words[k]
-        blocks = SequenceMatcher(None, mine, block, autojunk=False).get_matching_blocks()
-        matched = [w for b in blocks for w in mine[b.a : b.a + b.size]]
-        return len(matched) / len(mine) if set(TEMPLATES[k].distinctive) <= set(matched) else 0.0
-
-    def licenses(self, block: str) -> tuple[set[str], float]:
-        """Confirmed licenses of a block, and the largest saving among them."""
-        found: dict[str, float] = {}
-        words = words_of(block)
-        left = RANKED
-        for saved, k in self.ranked(block):
-            if saved < LEAST_SAVED or left == 0:
+        there = set(words)
+        if not self.needs[k] <= there or sum(w in there for w in mine) < LEAST_WORDING * len(mine):
+            return None
+        taken = len(self.numbers)  # any other word
+        pairs = aligned(self.coded[k], np.array([-1 if w is None else self.numbers.get(w, taken) for w in words]))
+        if pairs is None or len(pairs) < LEAST_WORDING * len(mine):
+            return None
+        kept, spots = {i for i, _ in pairs}, [j for _, j in pairs]
+        deleted = [w for i, w in enumerate(mine) if i not in kept]
+        chosen = set(spots)
+        inserted = [words[j] for j in range(spots[0], spots[-1]) if j not in chosen]
+        if None in inserted or len(inserted) > max(1, MOST_INSERTED * len(mine)) or not VARIANTS.isdisjoint(deleted + inserted) or not self.needs[k] <= {mine[i] for i in kept}:
+            return None
+        found = Found(self.templates[k].license, saved / self.sizes[k], len(pairs) / len(mine), tuple(inserted), tuple(deleted))
+        return len(pairs) - len(inserted) - len(deleted), spots, found
+
+    def licenses(self, window: list[str]) -> list[Found]:
+        """The confirmed licenses of a window, those that explain most words first."""
+        words: list[str | None] = [*window]
+        out = []
+        while ranks := self.ranked([w for w in words if w is not None]):
+            best = None
+            for saved, k in ranks:
+                if (now := self.confirmed(words, k, saved)) and (best is None or now[0] > best[0]):
+                    best = now
+            if best is None:
                 break
-            left -= 1
-            if self.wording(words, k) >= LEAST_WORDING:
-                # a block that holds another license's notice as well must hold its words beside this one's
-                found[TEMPLATES[k].license] = max(saved, found.get(TEMPLATES[k].license, 0.0))
-                at = _span(words, self.words[k])
-                words = words[: at[0]] + words[at[1] :]
-        return set(found), max(found.values(), default=0.0)
+            for j in best[1]:
+                words[j] = None
+            out.append(best[2])
+        return out
+
+    def scan(self, text: str) -> tuple[int, list[Found]]:
+        """The number of candidate blocks, and each license once, by identifier."""
+        blocks = blocks_of(text)
+        found: dict[str, Found] = {}
+        for one in (f for b in blocks for w in windows_of(b) for f in self.licenses(w)):
+            old = found.get(one.license)
+            if old is None or (len(one.inserted) + len(one.deleted), -one.saved) < (len(old.inserted) + len(old.deleted), -old.saved):
+                found[one.license] = one
+        return len(blocks), [found[k] for k in sorted(found)]
 
 
-def _span(words: list[str], template: list[str]) -> tuple[int, int]:
-    blocks = [b for b in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if b.size]
-    return blocks[0].b, blocks[-1].b + blocks[-1].size
+_FOUND = pa.list_(pa.struct([("license", pa.string()), ("saved", pa.float64()), ("wording", pa.float64()), ("inserted", pa.list_(pa.string())), ("deleted", pa.list_(pa.string()))]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_blocks (candidate blocks), licenses (confirmed SPDX identifiers, rising) and saved of each row."""
+    """doc_id, n_blocks (candidate blocks) and found of each row: an array of license (SPDX identifier), saved (share of
+    the template's bytes), wording (share of its words), inserted and deleted (words), rising by license."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = per_worker("licenses", "", Scanner)
         for batch in batches:
-            blocks, names, saved = [], [], []
+            blocks, found = [], []
             for text in batch.column(1):
                 raw = text.as_buffer()
                 low = bytes(raw).lower() if raw is not None else b""
-                mine = blocks_of(low.decode()) if any(t in low for t in TRIGGERS) else []
-                results = [scanner.licenses(b) for b in mine]
-                known = set().union(*[r[0] for r in results])
-                for found in map(scanner.licenses, around_of(low.decode()) if mine else []):
-                    if found[0] - known:
-                        results.append(found)
-                blocks.append(len(mine))
-                names.append(sorted(set().union(*[r[0] for r in results])))
-                saved.append(max((r[1] for r in results), default=0.0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blocks, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(saved, pa.float64())], ["doc_id", "n_blocks", "licenses", "saved"])
+                n, mine = scanner.scan(low.decode()) if any(t in low for t in TRIGGERS) else (0, [])
+                blocks.append(n)
+                found.append([{"license": f.license, "saved": f.saved, "wording": f.wording, "inserted": list(f.inserted), "deleted": list(f.deleted)} for f in mine])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blocks, pa.int64()), pa.array(found, _FOUND)], ["doc_id", "n_blocks", "found"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_blocks long, licenses array<string>, saved double")
+    kinds = "array<struct<license:string,saved:double,wording:double,inserted:array<string>,deleted:array<string>>>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_blocks long, found {kinds}")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_blocks, n_licenses, licenses (comma-joined) and the largest confirmed saving."""
+    """Per document: doc_id, n_blocks, n_licenses, licenses (comma-joined), the largest saving, and how many words of the
+    confirmed notices are inserted and deleted."""
     found = scan(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_blocks", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"), F.round("saved", 4).alias("saved"))
+    total = lambda part: F.aggregate("found", F.lit(0), lambda n, f: n + F.size(f[part])).cast("long")
+    saved = F.round(F.coalesce(F.array_max(F.transform("found", lambda f: f["saved"])), F.lit(0.0)), 4)
+    return found.select(
+        "doc_id",
+        "n_blocks",
+        F.size("found").cast("long").alias("n_licenses"),
+        F.array_join(F.transform("found", lambda f: f["license"]), ",").alias("licenses"),
+        saved.alias("saved"),
+        total("inserted").alias("n_inserted"),
+        total("deleted").alias("n_deleted"),
+    )
