@@ -43,14 +43,36 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[application]
 
 
+#: A setting of Spark that frees the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    """``df`` as a written Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    What the query shuffled is freed at its end: the table is read from now on.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame | None) -> None:
+    """Deletes the written table that ``df`` reads, or is a projection of; only for tables that nothing reads again."""
+    if df is not None:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/tallyline/" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def per_worker(family: str, version: str, build: Callable[[], Any]) -> Any:
     """``build()`` once for each Python worker process, whatever number of tasks it runs.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -27,8 +27,19 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         hung = told.join(hooks, "node", "left").select("node", F.col("root").alias("old"), F.least("near", F.coalesce("hook", "near")).alias("root"))
         step = written(hung, f"{name}-hung")
         short = step.join(step.select(F.col("node").alias("root"), F.col("root").alias("above")), "root").select("node", "old", F.least("root", "above").alias("root"))
-        step = written(short, f"{name}-round")
-        changed = step.filter(F.col("root") != F.col("old")).limit(1).count()
-        label = step.select("node", "root")
+        after = written(short, f"{name}-round")
+        discard(step)
+        discard(label)
+        changed = after.filter(F.col("root") != F.col("old")).limit(1).count()
+        label = after.select("node", "root")
         if not changed:
+            discard(both)
             return label
+
+
+def with_components(prints: DataFrame, nodes: DataFrame, root: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of each row of ``prints``, given the roots of linked fingerprints."""
+    rooted = nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+    least = root.join(nodes.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    of = rooted.join(least, "root", "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "first_doc").alias("component_id"))
+    return prints.join(of, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")

@@ -18,7 +18,6 @@ result; a component without any doc_id gets a null component_id; an empty table
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -26,11 +25,12 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, written
-from .components import components
+from .components import components, with_components
+from .similar import similar_documents  # noqa: F401  the corpus pipeline's near-duplicates
 
 SEED = 42
 WORDS = 3
@@ -187,272 +187,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, s
     return with_components(prints, nodes, components(links(nodes.select("fp"), plan, radius), "simhash"))
 
 
-def with_components(prints: DataFrame, nodes: DataFrame, root: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of each row of ``prints``, given the roots of linked fingerprints."""
-    rooted = nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    least = root.join(nodes.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    of = rooted.join(least, "root", "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "first_doc").alias("component_id"))
-    return prints.join(of, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
-
-
-# --- fingerprints within a wide radius; an approximation that no query uses -----------------------------------------
-
-#: Members of a bucket that one task compares.
-MEMBERS = 400_000
-CLOSEST = 16
-
-
-def candidates(members: np.ndarray, indexed: np.ndarray, radius: int, closest: int = CLOSEST) -> list[tuple[int, int]]:
-    """Pairs within ``radius``, one of them indexed in the bucket.
-
-    All of them, unless they are more than ``2 * closest`` a member: then each member's ``closest`` nearest, and a
-    spanning forest that connects all that the pairs connect. So a large group of copies gives no square of its size.
-    """
-    hits = []
-    block = max(1, 2_000_000 // max(1, len(members)))
-    for at in range(0, len(indexed), block):
-        distance = np.bitwise_count(indexed[at : at + block, None] ^ members[None, :])
-        row, col = np.nonzero((distance <= radius) & (distance > 0))
-        if len(row):
-            hits.append(np.stack([distance[row, col].astype(np.int64), row + at, col]))
-    if not hits:
-        return []
-    found = np.concatenate(hits, axis=1)
-    found = found[:, np.argsort(found[0], kind="stable")]
-    values, place = np.unique(np.concatenate([indexed[found[1]], members[found[2]]]), return_inverse=True)
-    left, right = place[: found.shape[1]], place[found.shape[1] :]
-    keep = np.ones(len(left), dtype=bool)
-    if len(left) > 2 * closest * len(values):
-        both = np.concatenate([left, right])
-        pair = np.concatenate([np.arange(len(left))] * 2)
-        order = np.lexsort((pair, both))
-        starts = np.searchsorted(both[order], np.arange(len(values)))
-        rank = np.arange(len(both)) - starts[both[order]]
-        keep[:] = False
-        keep[pair[order][rank < closest]] = True
-        label = np.arange(len(values))
-        for k in np.flatnonzero(keep):  # what the nearest pairs connect already
-            a, b = label[left[k]], label[right[k]]
-            if a != b:
-                label[label == max(a, b)] = min(a, b)
-        rest = np.flatnonzero(label[left] != label[right])
-        while len(rest):
-            a, b = label[left[rest[0]]], label[right[rest[0]]]
-            keep[rest[0]] = True
-            label[label == max(a, b)] = min(a, b)
-            rest = rest[label[left[rest]] != label[right[rest]]]
-    return list(zip(values[left[keep]].tolist(), values[right[keep]].tolist(), strict=True))
-
-
-def near_links(distinct: DataFrame, plan: list[tuple[list[int], int]], radius: int, members: int = MEMBERS) -> DataFrame:
-    """Pairs (a, b) of fingerprints at most ``radius`` bits apart, as ``candidates`` gives them for each bucket.
-
-    A fingerprint is indexed under its own value in each partition, and probes the values within the threshold. A bucket
-    of more than ``members`` is dealt to parts by hash; its smallest fingerprint goes to every part and connects them.
-    """
-    fp = F.col("fp")
-    keys = [F.struct(F.lit(p).alias("part"), fp.bitwiseAND(F.lit(_signed(mask_of(bits)))).bitwiseXOR(F.lit(_signed(flip))).alias("value"), F.lit(flip == 0).alias("own")) for p, (bits, t) in enumerate(plan) for flip in probes(bits, t)]
-    keyed = distinct.select("fp", F.inline(F.array(*keys)))
-    counts = keyed.groupBy("part", "value").agg(F.count("*").alias("n"), F.count_if("own").alias("owned"), F.min("fp").alias("least"))
-    worth = counts.filter((F.col("owned") > 0) & (F.col("n") > 1))
-    hot = written(worth.filter(F.col("n") > members).select("part", "value", "least", F.ceil(F.col("n") / members).cast("int").alias("parts")), "simhash-large")
-    dealt = keyed.join(hot, ["part", "value"], "left").withColumn("_deal", F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(fp == F.col("least"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))))
-    buckets = dealt.select("part", "value", F.explode("_deal").alias("_deal"), "fp", "own").groupBy("part", "value", "_deal").agg(F.collect_list("fp").alias("fps"), F.collect_list(F.when(F.col("own"), fp)).alias("own"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            fps, own = batch.column(0), batch.column(1)
-            for k in range(batch.num_rows):
-                every, indexed = (np.asarray(c[k].values.to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64) for c in (fps, own))
-                found += candidates(every, indexed, radius)
-            pairs = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    pairs = buckets.filter((F.size("own") > 0) & (F.size("fps") > 1)).select("fps", "own").mapInArrow(run, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-# --- similar texts: exact similarity by prefixes of shingle sets ----------------------------------------------------
-
-SHINGLE = 5
-SIMILAR = 0.8
-#: A shingle in so many texts of the sample comes last in the order, up to so many shingles.
-OFTEN = 4
-FREQUENT = 200_000
-#: Members of a shingle that one task compares with each other.
-BLOCK = 16_384
-#: Rounds at most that compare each text with one other, before all remaining pairs.
-STARS = 6
-
-
-def shingles_of(text: bytes, words: int = SHINGLE) -> np.ndarray:
-    """The hashes of the distinct shingles of a text, rising; a shorter text is one shingle."""
-    parts = text.lower().split()
-    n = max(1, len(parts) - words + 1) if parts else 0
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(parts[i : i + words]), SEED) for i in range(n)), dtype=np.uint64, count=n))
-
-
-def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similarity: float, words: int) -> DataFrame:
-    """doc_id, fp (the hash of the whole set of shingles), size and prefix of each row.
-
-    Two sets of similarity s share one of the first n - ceil(s * n) + 1 of either's n shingles, whatever order all
-    sets are in; here frequent ones come last, rarer ones by their hash.
-    """
-    kept = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT shingles
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts = kept.value
-        for batch in batches:
-            keys, sizes, firsts = [], [], []
-            for t in batch.column(1).cast(pa.binary()):
-                own = shingles_of(t.as_py() or b"", words)
-                need = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1 if len(own) else 0
-                if len(values) and need:
-                    at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-                    often = np.where(values[at] == own, counts[at], 0)
-                    first = own[np.argsort(often, kind="stable")[:need]]
-                else:
-                    first = own[:need]
-                keys.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-                sizes.append(len(own))
-                firsts.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "fp", "size", "prefix"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, size long, prefix array<long>")
-
-
-def frequent_shingles(docs: DataFrame, total: int, words: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in OFTEN or more of about ``sample`` texts, rising, and their counts there.
-
-    They only choose the order of shingles: it decides how many candidates there are, not which links are found.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column(0).cast(pa.binary()):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles_of(t.as_py() or b"", words).view(np.int64))], ["shingle"])
-
-    share = min(1.0, sample / max(1, total))
-    drawn = docs.select(F.col("text").cast("string").alias("text")).distinct() if share == 1.0 else docs.select(F.col("text").cast("string").alias("text")).filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).distinct()
-    rows = drawn.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
-    values = rows["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(values)
-    return values[order], rows["n"].to_numpy(dtype=np.int64)[order]
-
-
-def may_link(x: Column, y: Column, similarity: float) -> Column:
-    """Whether two sets can be similar by the sizes, and by the places (from 0) of a shingle that both have."""
-    both = F.least(x["place"], y["place"]) + F.least(x["size"] - x["place"], y["size"] - y["place"])
-    return both + 1e-6 >= similarity / (1 + similarity) * (x["size"] + y["size"])
-
-
-def cross_pairs(members: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Pairs (a, b) with different labels of all members of each shingle that may link; ``members`` has shingle, n, fp,
-    size, place and label.
-
-    The members of a shingle that has more than ``block`` are dealt to parts, and every part meets every part.
-    """
-    parts = F.ceil(F.col("n") / block).cast("int")
-    dealt = members.withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64("fp"), F.col("_parts")).cast("int"))
-    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    one = F.struct("fp", "label", "size", "place", "_part")
-    met = met.groupBy("shingle", F.least("_part", "_other").alias("_low"), F.greatest("_part", "_other").alias("_high")).agg(F.collect_list(one).alias("rows")).select("_low", "_high", "rows")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                rows = batch.column(2)[k].values
-                fp, label, size, place, part = (np.asarray(rows.field(i)) for i in range(5))
-                low, high = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
-                step = max(1, 2_000_000 // max(1, len(right)))
-                for at in range(0, len(left), step):
-                    i, j = left[at : at + step, None], right[None, :]
-                    both = np.minimum(place[i], place[j]) + np.minimum(size[i] - place[i], size[j] - place[j])
-                    good = (label[i] != label[j]) & (both + 1e-6 >= similarity / (1 + similarity) * (size[i] + size[j]))
-                    if low == high:
-                        good &= fp[i] < fp[j]
-                    r, c = np.nonzero(good)
-                    if len(r):
-                        a, b = fp[left[at + r]], fp[right[c]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return met.mapInArrow(run, "a long, b long").distinct()
-
-
-def similar_documents(docs: DataFrame, similarity: float = SIMILAR, words: int = SHINGLE, sample: int = SAMPLE, block: int = BLOCK, stars: int = STARS) -> DataFrame:
-    """doc_id and component_id of each row, where texts link if their sets of ``words``-word shingles have a Jaccard
-    similarity of at least ``similarity``.
-
-    Texts of equal sets count as one. Candidates share a shingle of their prefixes, which no link can do without, and
-    each link is verified on the whole sets. At first each text is compared with one other of its shingles, so a large
-    group of copies is joined without its square of pairs; in the end all candidates of different components are
-    compared. ``sample`` and ``stars`` change the effort only, never the links.
-    """
-    total = docs.count()
-    prints = written(prefixes(docs, frequent_shingles(docs, total, words, sample), similarity, words), "similar")
-    if total == 0:
-        return prints.select("doc_id", F.col("doc_id").alias("component_id"))
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "similar-nodes")
-    rows = nodes.select("fp", "size", F.posexplode("prefix").alias("place", "shingle"))
-    often = nodes.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
-    members = written(rows.join(often, "shingle").select("shingle", "n", "fp", "size", "place"), "similar-members")
-
-    wanted = members.select("fp").distinct().join(nodes.select("fp", "first_doc"), "fp")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(wanted.filter("first_doc is not null").select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id", "left_semi").union(texts.filter("doc_id is null"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [shingles_of(t.as_py() or b"", words).tobytes() for t in batch.column(0).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], dtype=np.uint64).view(np.int64)), pa.array(raw, pa.binary())], ["fp", "shingles"])
-
-    sets = written(texts.select("text").mapInArrow(run, "fp long, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles")), "similar-shingles")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                one, two = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(both >= similarity * (len(one) + len(two) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-        return written(sides.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "similar-links")
-
-    def labelled(root: DataFrame | None) -> DataFrame:
-        """The members of the shingles that stand in more than one component."""
-        if root is None:
-            return members.withColumn("label", F.col("fp"))
-        told = members.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
-        open_ = told.groupBy("shingle").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x != _y").select("shingle")
-        return written(told.join(open_, "shingle", "left_semi"), "similar-open")
-
-    links, root = None, None
-    for k in range(stars):
-        left = labelled(root)
-        side = F.struct(F.xxhash64("fp", F.lit(k)).alias("drawn"), "fp", "size", "place", "label")
-        hubs = left.groupBy("shingle").agg(F.min(side).alias("hub"))
-        ask = left.join(hubs, "shingle").filter((F.col("label") != F.col("hub.label")) & may_link(F.struct("size", "place"), F.col("hub"), similarity))
-        asked = written(ask.groupBy("fp").agg(F.min(F.struct("hub.drawn", "hub.fp")).alias("hub")).select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b")).distinct(), "similar-asked")
-        found = verified(asked)
-        hits, tried = found.count(), asked.count()
-        if hits:
-            links = found if links is None else links.union(found)
-            root = components(links, "similar")
-        if tried < 100 or hits * 4 < tried:
-            break
-    rest = verified(cross_pairs(labelled(root), similarity, block))
-    if rest.limit(1).count():
-        root = components(rest if links is None else links.union(rest), "similar")
-    if root is None:
-        root = rest.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return with_components(prints.select("doc_id", "fp"), nodes.select("fp", "first_doc"), root).select("doc_id", "component_id")
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

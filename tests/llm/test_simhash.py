@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyline.llm import simhash
+from tallyline.llm import similar, simhash
 from tallyline.llm.components import components
 
 
@@ -118,17 +118,17 @@ def test_query_against_all_pairs(spark, folder):
     assert [got[i]["component_id"] for i in ids] == [ids[r] for r in roots]
 
 
-def jaccard(a, b):
-    def shingles(t):
-        w = t.lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+def slow_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
 
-    x, y = shingles(a), shingles(b)
+def jaccard(a, b):
+    x, y = slow_shingles(a), slow_shingles(b)
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
-@pytest.mark.parametrize("members", [20_000, 40])
-def test_similar_documents(spark, monkeypatch, members):
+def test_similar_documents(spark):
     rng = random.Random(6)
     vocabulary = ["w%d" % i for i in range(400)]
     texts = []
@@ -142,13 +142,11 @@ def test_similar_documents(spark, monkeypatch, members):
             texts.append(" ".join(copy))
     texts += ["", None, "one two", "One  TWO", "unlike anything else here"]
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] + [(None, texts[0], "c"), (3, texts[3], "c")], "doc_id long, text string, component_id string")
-    monkeypatch.setattr(simhash, "MEMBERS", members)
-    monkeypatch.setattr(simhash.near_links, "__defaults__", (members,))
     got = simhash.similar_documents(df).collect()
     assert len(got) == len(texts) + 2
     by = {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None}
     linked = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i] or "", texts[j] or "") >= 0.8]
-    assert sum(by[i] == by[j] for i, j in linked) >= 0.95 * len(linked)
+    assert all(by[i] == by[j] for i, j in linked)
     root = list(range(len(texts)))
     for i, j in linked:
         a, b = root[i], root[j]
@@ -157,23 +155,40 @@ def test_similar_documents(spark, monkeypatch, members):
     assert simhash.similar_documents(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("closest", [16, 1])
-def test_candidates_connect_what_is_near(closest):
-    rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
-    members = np.unique(np.concatenate([base, base ^ np.uint64(5), base ^ np.uint64(1 << 40), base[:1] ^ np.arange(64, dtype=np.uint64)]))
-    pairs = simhash.candidates(members, members, 3, closest)
-    root = {int(m): int(m) for m in members}
-    for a, b in pairs:
-        assert (a ^ b).bit_count() <= 3
-        x, y = root[a], root[b]
-        root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
-    expected = union_find(members.tolist(), 3)
-    assert len(set(root.values())) == len(set(expected))
-    near = sum(bin(int(a) ^ int(b)).count("1") <= 3 for i, a in enumerate(members) for b in members[:i])
-    assert len({frozenset(p) for p in pairs}) <= near
-    assert (len({frozenset(p) for p in pairs}) < near) == (closest == 1)
-    assert simhash.candidates(base[:0], base[:0], 3) == []
+def test_shingles_are_the_sets(spark):
+    """Equal hashes for equal shingles only, and the bounds that prune pairs hold."""
+    rng = random.Random(21)
+    texts = [" ".join(rng.choices("abcd", k=rng.choice([0, 1, 3, 4, 5, 6, 40, 400]))) for _ in range(60)]
+    for x in texts:
+        slow = slow_shingles(x)
+        own = similar.shingles_of(x.encode())
+        assert len(own) == len(slow) and similar.sketch_of(own).sum() == len(own)
+        for y in texts:
+            both = len(np.intersect1d(own, similar.shingles_of(y.encode())))
+            assert both == len(slow & slow_shingles(y))
+            other = similar.shingles_of(y.encode())
+            assert both <= similar.most_common(similar.sketch_of(own), similar.sketch_of(other))
+            if len(own) and len(other) and both >= 0.8 * (len(own) + len(other) - both):
+                assert abs(similar.size_code(len(own)) - similar.size_code(len(other))) <= similar.code_gap(0.8)
+    assert len(similar.sketch_of(np.arange(0, 1 << 20, 64, dtype=np.uint64))) > 1 << 12  # more classes where one would overflow
+
+
+def test_shared_shingles(spark):
+    """The index holds the shingles that prefixes of several sets share, frequent or not."""
+    rng = random.Random(22)
+    words = ["w%d" % i for i in range(60)]
+    texts = [" ".join(words[:30] + ["v%d" % rng.randrange(10**9) for _ in range(30)]) for _ in range(30)] + [" ".join(words)] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {similar.key_of(s): s for s in (similar.shingles_of(t.encode()) for t in texts)}
+    values, counts = np.unique(np.concatenate([*sets.values()]), return_counts=True)
+    for frequent in ((values[counts > 5], counts[counts > 5]), (values[:0], counts[:0])):
+        rank = dict(zip(*(x.tolist() for x in frequent), strict=True))
+        prefix = {k: set(sorted(s.tolist(), key=lambda x: (rank.get(x, 0), x))[: similar.need_of(len(s), 0.8)]) for k, s in sets.items()}
+        expected = sorted(len(who) for s in set().union(*prefix.values()) if len(who := [k for k in sets if s in prefix[k]]) > 1)
+        got = {}
+        for r in similar.shared_shingles(df, frequent, 10**5, 0.8, 5).collect():
+            got.setdefault(r["shingle"], set()).add(r["fp"])
+        assert sorted(map(len, (g for g in got.values() if len(g) > 1))) == expected
 
 
 def groups(got):
@@ -185,7 +200,7 @@ def groups(got):
 
 def expected_groups(texts):
     """The components of all links, by brute force over all pairs."""
-    sets = [(lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())((t or "").lower().split()) for t in texts]
+    sets = [slow_shingles(t) for t in texts]
     root = list(range(len(texts)))
 
     def find(x):
@@ -257,7 +272,9 @@ def test_parts_of_a_large_group_meet(spark):
         texts.append(" ".join(words))
     order = rng.sample(range(len(texts)), len(texts))
     texts = [texts[i] for i in order]
-    df = spark.createDataFrame([(1, i, 120, 5, i, 40) for i in range(40)], "shingle long, fp long, size long, place long, label long, n long")
-    pairs = {(r["a"], r["b"]) for r in simhash.cross_pairs(df, 0.8, 7).collect()}
-    assert pairs == {(i, j) for j in range(40) for i in range(j)}
+    df = spark.createDataFrame([(1, i, 100, i, 40, 5, i / 100) for i in range(40)], "shingle long, fp long, code short, label long, n long, h0 long, d0 double")
+    pairs = [(r["a"], r["b"]) for r in similar.cross_pairs(df, 0, 0.8, 7).collect()]
+    assert sorted(pairs) == sorted((i, j) for j in range(40) for i in range(j))
+    pairs = [(r["a"], r["b"]) for r in similar.cross_pairs(df, 1, 0.8, 7).collect()]
+    assert sorted(pairs) == sorted((i, j) for j in range(40) for i in range(j) if j - i <= 20)  # the rest by the triangle inequality
     assert joined(spark, texts, block=7, stars=0) == expected_groups(texts) == [list(range(40))]
