@@ -169,7 +169,7 @@ def test_shingles_are_the_sets(spark):
             other = similar.shingles_of(y.encode())
             assert both <= similar.most_common(similar.sketch_of(own), similar.sketch_of(other))
             if len(own) and len(other) and both >= 0.8 * (len(own) + len(other) - both):
-                assert abs(similar.size_code(len(own)) - similar.size_code(len(other))) <= similar.code_gap(0.8)
+                assert both >= similar.least_common(len(own), len(other), 0.8)
     assert len(similar.sketch_of(np.arange(0, 1 << 20, 64, dtype=np.uint64))) > 1 << 12  # more classes where one would overflow
 
 
@@ -184,11 +184,18 @@ def test_shared_shingles(spark):
     for frequent in ((values[counts > 5], counts[counts > 5]), (values[:0], counts[:0])):
         rank = dict(zip(*(x.tolist() for x in frequent), strict=True))
         prefix = {k: set(sorted(s.tolist(), key=lambda x: (rank.get(x, 0), x))[: similar.need_of(len(s), 0.8)]) for k, s in sets.items()}
-        expected = sorted(len(who) for s in set().union(*prefix.values()) if len(who := [k for k in sets if s in prefix[k]]) > 1)
+        place = {k: sorted(s.tolist(), key=lambda x: (rank.get(x, 0), x)) for k, s in sets.items()}
+        rest = lambda k, s: len(sets[k]) - place[k].index(s)
+        expected = 0
+        for s in set().union(*prefix.values()):
+            who = [k for k in sets if s in prefix[k]]
+            if len(who) > 2 or (len(who) == 2 and (s in rank or min(rest(k, s) for k in who) >= similar.least_common(*(len(sets[k]) for k in who), 0.8))):
+                expected += len(who)
         got = {}
         for r in similar.shared_shingles(df, frequent, 10**5, 0.8, 5).collect():
             got.setdefault(r["shingle"], set()).add(r["fp"])
-        assert sorted(map(len, (g for g in got.values() if len(g) > 1))) == expected
+            assert r["size"] == len(sets[r["fp"]]) and r["place"] < len(prefix[r["fp"]])
+        assert sum(len(g) for g in got.values() if len(g) > 1) == expected
 
 
 def groups(got):
@@ -272,9 +279,12 @@ def test_parts_of_a_large_group_meet(spark):
         texts.append(" ".join(words))
     order = rng.sample(range(len(texts)), len(texts))
     texts = [texts[i] for i in order]
-    df = spark.createDataFrame([(1, i, 100, i, 40, 5, i / 100) for i in range(40)], "shingle long, fp long, code short, label long, n long, h0 long, d0 double")
+    df = spark.createDataFrame([(1, i, 100, 0, i, 40, 5, i / 100) for i in range(40)], "shingle long, fp long, size long, place long, label long, n long, h0 long, d0 double")
     pairs = [(r["a"], r["b"]) for r in similar.cross_pairs(df, 0, 0.8, 7).collect()]
     assert sorted(pairs) == sorted((i, j) for j in range(40) for i in range(j))
     pairs = [(r["a"], r["b"]) for r in similar.cross_pairs(df, 1, 0.8, 7).collect()]
     assert sorted(pairs) == sorted((i, j) for j in range(40) for i in range(j) if j - i <= 20)  # the rest by the triangle inequality
+    df = spark.createDataFrame([(1, i, 100, i, i, 40) for i in range(40)], "shingle long, fp long, size long, place long, label long, n long")
+    pairs = [(r["a"], r["b"]) for r in similar.cross_pairs(df, 0, 0.8, 7).collect()]
+    assert sorted(pairs) == sorted((i, j) for j in range(12) for i in range(j))  # what is left must be 89 of 100
     assert joined(spark, texts, block=7, stars=0) == expected_groups(texts) == [list(range(40))]
