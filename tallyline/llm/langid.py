@@ -6,8 +6,10 @@ text. Machines between families, and between the languages of one family, are tr
 family that wins most comparisons, then the language that wins most within it; ties go to the larger sum of margins.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 1; without training rows every text is ``und``
-with score 0; a language that ``FAMILIES`` doesn't name is a family of its own, or with those
-nearest to it if there are more than ``MOST``; repeated rows get a row each.
+with score 0; a language that ``FAMILIES`` doesn't name is a family of its own, or with those nearest to it if there are
+more than ``MOST``; very long texts are read whole; repeated rows get a row each and train once; ties of votes go to the
+larger sum of margins, then to the greater name; an empty table gives an empty result; extra columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -206,9 +208,9 @@ def margins_of(texts: list[str], model: Model) -> np.ndarray:
 
 
 def trained(docs: DataFrame, keep: F.Column, sample: int = SAMPLE, texts: int = TEXTS) -> Model | None:
-    """The machines for all languages, from rows where ``keep``, drawn by a hash of doc_id.
+    """The machines for all languages, from rows where ``keep``, drawn by a hash of doc_id and text.
 
-    About ``sample`` texts of each language, fewer if all would be more than ``texts``, but ``LEAST`` at least.
+    Rows that share an id are drawn apart, rows that repeat id and text count once. About ``sample`` texts of each language, fewer if all would be more than ``texts``, but ``LEAST`` at least.
     """
     told = docs.filter(keep & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in told.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -226,7 +228,10 @@ def trained(docs: DataFrame, keep: F.Column, sample: int = SAMPLE, texts: int =
                     at = np.flatnonzero(x).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([lang], pa.string()), pa.array([at.tobytes()], pa.binary()), pa.array([x[at].tobytes()], pa.binary())], ["doc_id", "lang", "at", "x"])
 
-    chosen = told.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < share).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    mark = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(5))
+    drawn = told.filter(F.pmod(mark, F.lit(1 << 30)) < share).select(mark.alias("mark"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    # the shares bound what is expected, the limit what can be
+    chosen = drawn.groupBy("mark", "lang").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "text", "lang").limit(2 * sample * len(counts))
     rows = chosen.mapInArrow(run, "doc_id long, lang string, at binary, x binary").toPandas().sort_values(["doc_id", "lang"], kind="stable")
     x = np.zeros((len(rows), 1 << BITS), dtype=np.float32)
     for i, (at, v) in enumerate(zip(rows["at"], rows["x"], strict=True)):

@@ -80,3 +80,60 @@ def test_all_languages_are_learnt(spark, monkeypatch):
     assert sorted(lang for f in model.languages.values() for lang in f) == sorted(words) and len(model.families) <= 12
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, model).collect()}
     assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.95
+
+
+def slow_prediction(text, model):
+    """Family, then language, by plain loops over the trigrams of one text."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 1.0
+    low = text.lower()
+    raw = (" " + " ".join("".join(c if ord(c) > 127 or c.isalpha() else " " for c in low).split()) + " ").encode()
+    counts = {}
+    for i in range(len(raw) - 2):
+        code = (raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % 2**32 >> 32 - langid.BITS
+        counts[code] = counts.get(code, 0) + 1
+    total = max(1, sum(counts.values()))
+
+    def margin(group, a, b):
+        k = model.pairs[group, a, b]
+        return sum(n * float(model.weights[code, k]) for code, n in counts.items()) / total + float(model.bias[k])
+
+    def winner(group, names):
+        own = {n: [margin(group, a, b) if n == a else -margin(group, a, b) for i, a in enumerate(names) for b in names[i + 1 :] if n in (a, b)] for n in names}
+        best = max(names, key=lambda n: (sum(m > 0 for m in own[n]), sum(own[n]), n))
+        return best, 1.0 if len(names) == 1 else 1 / (1 + np.exp(-np.clip(3 * min(own[best]), -30, 30)))
+
+    family, p = winner("", model.families)
+    language, q = winner(family, model.languages[family])
+    return language, p * q
+
+
+def test_query_by_brute_force(spark, folder):
+    """The whole table: every prediction of the query by plain loops, given the machines."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = langid.trained(docs, crc32_mod(F.col("doc_id"), 4) != 2)
+    got = {r["doc_id"]: r for r in langid.op4_langid(spark, folder).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        lang, score = slow_prediction(r["text"], model)
+        mine = got[r["doc_id"]]
+        assert mine["lang_pred"] == lang and abs(mine["score"] - score) < 1e-3
+        assert mine["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """Rows that share an id, or lack one, are drawn apart, and repeated rows once."""
+    rows = corpus(800, 5)
+    shared = [(7, t + f" {i}", lang, 9) for i, t, lang, _ in rows] + [(None, t + f" {i}", lang, 9) for i, t, lang, _ in rows] + [rows[0]] * 500
+    sizes = []
+    monkeypatch.setattr(langid, "fit", lambda x, langs: sizes.append(len(langs)))
+    langid.trained(spark.createDataFrame(shared, "doc_id long, text string, lang string, score int"), F.lit(True), sample=50)
+    assert 100 < sizes[0] <= 2 * 50 * len(WORDS)
+
+
+def test_one_id_for_all_rows(spark):
+    df = spark.createDataFrame([(7, t + f" {i}", lang, 9) for i, t, lang, _ in corpus(600, 6)], "doc_id long, text string, lang string, score int")
+    got = langid.identify(df, langid.trained(df, F.lit(True), sample=60)).collect()
+    truth = {t: lang for _, t, lang, _ in (r for r in df.collect())}
+    assert len(got) == 600 and len(truth) > 500 and {r["lang_pred"] for r in got} == set(WORDS)
