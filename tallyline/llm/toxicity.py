@@ -9,8 +9,12 @@ are handled in chunks of ``CHUNK`` words, whatever their length, with running ma
 A row's threshold depends on the language that its own function words show; it is calibrated on held-back training rows
 and moved to a score of 0.5. Labels, lang, source and doc_id are no input of a score.
 
-Defined cases: a null or empty text gets the score of no words; rows without a label don't train; without both labels
-in the training rows every score is the share of toxic ones (0 if none); repeated rows get a row each.
+Defined cases: a null or empty text gets the score of no words; rows without a label or a doc_id don't train, nor do
+texts of more words; rows that share an id train each by itself, rows that repeat id and text once; of several labels of
+an id the larger counts; without both labels in the training rows every score is the share of toxic ones (0 if none);
+very long texts are scored whole; a score of exactly 0.5 is toxic; ties between languages shown go to the first in the
+list; an empty table gives an empty result; repeated rows get a row each; extra columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -282,15 +286,27 @@ def fit(texts: list[np.ndarray], features: np.ndarray, votes: np.ndarray, labels
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, keep: F.Column, sample: int = SAMPLE) -> DataFrame:
-    """text and toxic of a sample by hash of at most about ``sample`` rows of each label, from rows where ``keep``."""
-    told = labels.filter("toxic in (0, 1)").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("toxic").alias("_toxic")).filter(keep)
-    counts = {r["_toxic"]: r["n"] for r in told.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0)
-    for label, n in counts.items():
-        share = F.when(F.col("_toxic") == label, F.lit(int(min(1.0, sample / n) * (1 << 30)))).otherwise(share)
-    # about 2 * sample ids at most, by the shares: small enough to send to every executor, so that no text is shuffled
-    chosen = F.broadcast(written(told.filter(F.pmod(F.xxhash64("_doc", F.lit(11)), F.lit(1 << 30)) < share), "toxicity-sample"))
-    return docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_doc")).filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_toxic").alias("toxic"))
+    """doc_id, text and toxic of a sample by hash of about ``sample`` rows of each label, from rows where ``keep``.
+
+    First ids are drawn, then rows: an id that many rows share gives no more of them than the bound.
+    """
+    told = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("toxic").alias("_toxic")).filter(keep)
+
+    def shares(rows: DataFrame) -> F.Column:
+        share = F.lit(0)
+        for r in rows.groupBy("_toxic").agg(F.count("*").alias("n")).collect():
+            share = F.when(F.col("_toxic") == r["_toxic"], F.lit(int(min(1.0, sample / r["n"]) * (1 << 30)))).otherwise(share)
+        return share
+
+    within = lambda mark, share: F.pmod(mark, F.lit(1 << 30)) < share
+    # the shares bound what is expected, the limit what can be: small enough to send to every executor
+    ids = written(told.filter(within(F.xxhash64("_doc", F.lit(11)), shares(told))).limit(4 * sample), "toxicity-sample")
+    on = F.col("doc_id") == F.col("_doc")
+    share = shares(docs.select("doc_id").join(F.broadcast(ids), on))
+    mark = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(13))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), on).filter(F.col("text").isNotNull() & within(mark, share))
+    once = rows.groupBy(mark.alias("mark")).agg(F.first(F.col("doc_id").cast("long")).alias("doc_id"), F.first("text").alias("text"), F.first("_toxic").alias("toxic"))
+    return once.select("doc_id", "text", "toxic").limit(4 * sample)
 
 
 def trained(docs: DataFrame, labels: DataFrame, keep: F.Column, sample: int = SAMPLE) -> Model | float:

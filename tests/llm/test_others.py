@@ -208,3 +208,51 @@ def test_a_full_vocabulary_starts_anew(monkeypatch):
     monkeypatch.setattr(toxicity.Scorer, "LARGEST", 10)
     small = toxicity.Scorer(model)
     assert np.concatenate([small.scores([t]) for _, t, _ in rows]) == pytest.approx(one, abs=1e-5)
+
+
+def slow_score(text, model):
+    """One text's score by the definition: each window of words times each filter, one by one."""
+    words = toxicity.words_of(text or "")
+    vectors = [sum(model.embedding[f].astype(float) for f in toxicity.features_of(w)) for w in words]
+    nothing = np.zeros(toxicity.DIM)
+    pooled = []
+    for f, bias in zip(model.filters, model.bias, strict=True):
+        width = len(f)
+        padded = vectors + [nothing] * max(toxicity.WIDTHS)
+        windows = [sum(padded[i + j] @ f[j].astype(float) for j in range(width)) for i in range(len(words) + 1)]
+        pooled.append(np.maximum(np.max(windows, axis=0) + bias, 0))
+    votes, owners = {}, {}
+    for k, known in enumerate(toxicity.FUNCTION_WORDS.values(), start=1):
+        for w in known.split():
+            owners.setdefault(w.encode(), []).append(k)
+    for w in words:
+        if len(owners.get(w, ())) == 1:
+            votes[owners[w][0]] = votes.get(owners[w][0], 0) + 1
+    shown = max(votes, key=lambda k: (votes[k], -k)) if votes else 0
+    z = float(np.concatenate(pooled) @ model.out + model.out_bias - model.thresholds[shown])
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_toxicity_query_by_direct_convolution(spark, folder):
+    """The whole table: every score of the query by the definition, given the network."""
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.trained(docs, labels, crc32_mod(F.col("_doc"), 5) != 0)
+    got = {r["doc_id"]: r for r in toxicity.op10_toxicity(spark, folder).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        score, mine = slow_score(r["text"], model), got[r["doc_id"]]
+        assert abs(mine["score"] - score) < 1e-3 and mine["predicted"] == int(mine["score"] >= 0.5)
+        assert mine["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """An id that all rows share brings no more of them than the bound; repeated rows train once."""
+    rows = labelled(900, 8)
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(7 if y else 8, t + f" x{i}") for i, t, y in rows] + [(7, "scum moron")] * 400 + [(None, t) for _, t, _ in rows], "doc_id long, text string")
+    got = toxicity.training_rows(docs, labels, F.lit(True), 60).collect()
+    assert 60 < len(got) <= 240 and {r["toxic"] for r in got} == {0, 1}
+    assert len({r["text"] for r in got}) == len(got)
+    found = toxicity.toxicity(docs, labels, F.lit(True), 60).collect()
+    assert len(found) == docs.count() and {r["score"] for r in found if r["doc_id"] is None} != {0.0}
