@@ -6,11 +6,7 @@ this package, on its workers.
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -18,6 +14,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
+
 cloudpickle.register_pickle_by_value(sys.modules["tallyline"])
 
 
@@ -26,23 +24,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Temporary folders of local sessions, by application.
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode only."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    application = spark.sparkContext.applicationId
-    if application not in _LOCAL:
-        _LOCAL[application] = tempfile.mkdtemp(prefix="tallyline-")
-        atexit.register(shutil.rmtree, _LOCAL[application], True)
-    return _LOCAL[application]
-
-
 #: A setting of Spark that frees the shuffle files of a query when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -53,7 +34,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     What the query shuffled is freed at its end: the table is read from now on.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyline/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:

@@ -9,7 +9,9 @@ The benchmark is small beside the corpus, but nothing relies on that: above ``SH
 items are dealt to several automata of bounded size, each scans the corpus, and the hits are merged.
 
 Defined cases: a null or empty text has no words and no hits; an item without words or without an id takes no part;
-repeated rows get a row each; an empty benchmark hits nothing; an empty corpus gives an empty result.
+very long texts are scanned whole; windows that several items share count for each of them, and words in several windows
+count once; repeated rows get a row each; an empty benchmark hits nothing; an empty corpus gives an empty result; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -101,8 +103,14 @@ def scan(text: bytes, found) -> tuple[int, list[tuple[int, int]], list[tuple[int
     ranges = _merged(ranges)
     lowered = text.translate(NORMAL)
     at = [(m.start(), m.end()) for m in _WORD.finditer(lowered)]
-    chars = lambda byte: len(text[:byte].decode())
-    spans = [(chars(at[first][0]), chars(at[last][1])) for first, last in ranges]
+    spans, byte, char = [], 0, 0
+    for first, last in ranges:  # rising, so each stretch of the text is decoded once
+        ends = []
+        for to in (at[first][0], at[last][1]):
+            char += len(text[byte:to].decode())
+            byte = to
+            ends.append(char)
+        spans.append((ends[0], ends[1]))
     return len(words), ranges, spans, sorted(items)
 
 
@@ -132,8 +140,14 @@ def _hits(docs: DataFrame, items: list[tuple[int, str]], name: str, window: int,
 
 
 def _n_hit(ranges: str) -> F.Column:
-    covered = F.flatten(F.transform(ranges, lambda r: F.sequence(r["first"], r["last"])))
-    return F.size(F.array_distinct(covered)).cast("long")
+    """The number of words in the ranges, which may overlap."""
+    start = F.struct(F.lit(-1).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
+
+    def add(held: F.Column, r: F.Column) -> F.Column:
+        new = F.greatest(F.lit(0).cast("long"), r["last"] - F.greatest(held["upto"], r["first"] - 1))
+        return F.struct(F.greatest(held["upto"], r["last"]).alias("upto"), (held["n"] + new).alias("n"))
+
+    return F.aggregate(F.array_sort(ranges), start, add, lambda held: held["n"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -153,7 +167,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         items = [(r["item_id"], r["text"]) for r in mine.select("item_id", "text").collect()]  # bounded by shard_chars
         parts.append(_hits(docs, items, f"{run} {k}", window, shards > 1))
     if shards == 1:
-        return parts[0].select("doc_id", "n_words", F.when(F.size("ranges") == 0, F.lit(0).cast("long")).otherwise(_n_hit("ranges")).alias("n_hit"), "items", "spans")
+        return parts[0].select("doc_id", "n_words", _n_hit("ranges").alias("n_hit"), "items", "spans")
     hits = written(reduce(DataFrame.union, parts), "benchmark-hits").distinct()
     merged = hits.groupBy(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     bare = _hits(docs, [], f"{run} none", window, False).select("doc_id", "digest", "n_words")

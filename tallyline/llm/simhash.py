@@ -13,7 +13,9 @@ most two bits apart if and only if they share such a value, each value has at mo
 of each value keeps all components. So no group is gathered and no link between different texts is lost.
 
 Defined cases: null or empty texts have fingerprint zero, linked like any other; repeated rows each get a row of the
-result; a component without any doc_id gets a null component_id; an empty table gives an empty result.
+result; a component without any doc_id gets a null component_id; very long texts count whole; ties between partition
+plans go to fewer partitions and change no link; an empty table gives an empty result; extra columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ hold; corpus counts over all URLs tell which of them is rarest, and the rule is
 URL fetch the rules filed under them, and only those run their regular expression. The longest rule that fits decides.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and no rule; without a rule the verdict is
-``default``; repeated rows get a row each; an empty table gives an empty result.
+``default``; very long URLs are judged whole; of rules of equal length the greater name decides, of equally rare tokens
+the smaller; repeated rows get a row each; an empty table gives an empty result; extra columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ def path_of(url: Column) -> Column:
 
 def token_counts(parts: DataFrame, tokens: set[str]) -> dict[str, int]:
     """In how many rows of ``parts`` (column target) each of ``tokens`` occurs; as many rows as tokens at most."""
-    names = F.broadcast(parts.sparkSession.createDataFrame([(t,) for t in sorted(tokens)], "token string"))  # as long as the rules
+    names = parts.sparkSession.createDataFrame([(t,) for t in sorted(tokens)], "token string")
     seen = parts.select(F.explode(F.array_distinct(F.regexp_extract_all("target", F.lit(TOKEN.pattern), F.lit(0)))).alias("token"))
     return {r["token"]: r["n"] for r in seen.join(names, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n")).collect()}
 
