@@ -6,7 +6,9 @@ this package, on its workers.
 
 from __future__ import annotations
 
+import pickle
 import sys
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -66,6 +68,15 @@ def per_worker(family: str, version: str, build: Callable[[], Any]) -> Any:
     return kept[family][1]
 
 
+def sent(spark: SparkSession, kind: str, value: Any) -> Callable[[], Any]:
+    """``value`` as a broadcast for functions on executors, which needs none of this package there.
+
+    What is called there gives it, unpacked once for each worker, which holds one value of a kind.
+    """
+    kept, version = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+    return lambda: per_worker(f"sent {kind}", version, lambda: pickle.loads(kept.value))
+
+
 def crc32_mod(column: Column, n: int) -> Column:
     """crc32 of the value as text, modulo ``n``: the fold of a row. A null value counts as empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n

@@ -15,7 +15,6 @@ names, are ignored.
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, per_worker, read_table
+from .common import crc32_mod, read_table, sent
 
 BITS = 13
 SAMPLE = 600
@@ -241,10 +240,10 @@ def trained(docs: DataFrame, keep: F.Column, sample: int = SAMPLE, texts: int =
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score of each row, from its whole text."""
-    kept, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # 2**BITS weights a machine
+    known = sent(docs.sparkSession, "languages", model)  # 2**BITS weights a machine
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = per_worker("languages", name, lambda: kept.value)
+        own = known()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             if own is None:

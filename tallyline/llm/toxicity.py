@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, per_worker, read_table, written
+from .common import crc32_mod, per_worker, read_table, sent, written
 
 BITS = 17
 DIM = 16
@@ -359,10 +359,10 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
     """doc_id and score (0 to 1) of each row, from its whole text."""
     if isinstance(model, float):
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(model).alias("score"))
-    kept, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # a fixed size: 2**BITS rows
+    known, name = sent(docs.sparkSession, "toxicity", model), uuid.uuid4().hex  # a fixed size: 2**BITS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = per_worker("toxicity", name, lambda: Scorer(kept.value))
+        scorer = per_worker("toxicity", name, lambda: Scorer(known()))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)

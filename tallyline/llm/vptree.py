@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import read_table, sent, written
 
 K = 10
 #: Numbers that a shard holds on average: 64 MB.
@@ -312,19 +312,19 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = K, relax: float = RELA
     if not trees:
         one = lambda df: df.withColumn("shard", F.lit(0))
         return result(ranked(searched(one(kept), one(asked).withColumn("limit", F.lit(float("inf"))), k, relax)))
-    sent = kept.sparkSession.sparkContext.broadcast(trees)  # SAMPLE vectors at most for a length
+    known = sent(kept.sparkSession, "regions", trees)  # SAMPLE vectors at most for a length
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, some in _by_dim(batch, 2):
-                tree = sent.value.get(dim)
+                tree = known().get(dim)
                 shard = tree.homes(_matrix(some.column(1), dim)) if tree else np.zeros(some.num_rows, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(shard.astype(np.int32))], ["vec_id", "embedding", "dim", "shard"])
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, some in _by_dim(batch, 2):
-                if (tree := sent.value.get(dim)) is None:
+                if (tree := known().get(dim)) is None:
                     continue
                 vectors, limit = _matrix(some.column(1), dim), some.column(3).to_numpy(zero_copy_only=False)
                 open_ = tree.bounds(vectors) * relax <= (limit * (1 + _SLACK) + _SLACK)[:, None]

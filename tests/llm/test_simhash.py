@@ -170,6 +170,11 @@ def test_shingles_are_the_sets(spark):
             assert both <= similar.most_common(similar.sketch_of(own), similar.sketch_of(other))
             if len(own) and len(other) and both >= 0.8 * (len(own) + len(other) - both):
                 assert both >= similar.least_common(len(own), len(other), 0.8)
+    sets = [similar.shingles_of(t.encode()) for t in texts]
+    sketches = [similar.sketch_of(x).tobytes() for x in sets]
+    left, right = (np.array(x) for x in zip(*((i, j) for i in range(60) for j in range(60)), strict=True))
+    bounds = similar.in_common(sketches, left, right)
+    assert bounds.tolist() == [similar.most_common(*(np.frombuffer(sketches[k], dtype=np.uint8) for k in p)) for p in zip(left, right, strict=True)]
     assert len(similar.sketch_of(np.arange(0, 1 << 20, 64, dtype=np.uint64))) > 1 << 12  # more classes where one would overflow
 
 
@@ -181,15 +186,18 @@ def test_shared_shingles(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sets = {similar.key_of(s): s for s in (similar.shingles_of(t.encode()) for t in texts)}
     values, counts = np.unique(np.concatenate([*sets.values()]), return_counts=True)
-    for frequent in ((values[counts > 5], counts[counts > 5]), (values[:0], counts[:0])):
-        rank = dict(zip(*(x.tolist() for x in frequent), strict=True))
+    found = similar.frequent_shingles(df, int(counts.sum()), 5, often=6)
+    assert sorted(found.counts.tolist()) == sorted(counts[counts >= 6].tolist()) and found.of(values).tolist() == np.where(counts >= 6, counts, 0).tolist()
+    assert len(similar.frequent_shingles(df, 10**9, 5, frequent=3, often=2).codes) <= 3
+    for frequent in (found, similar.Frequent(values[:0], counts[:0], 64)):
+        rank = dict(zip(values.tolist(), frequent.of(values).tolist(), strict=True))
         prefix = {k: set(sorted(s.tolist(), key=lambda x: (rank.get(x, 0), x))[: similar.need_of(len(s), 0.8)]) for k, s in sets.items()}
         place = {k: sorted(s.tolist(), key=lambda x: (rank.get(x, 0), x)) for k, s in sets.items()}
         rest = lambda k, s: len(sets[k]) - place[k].index(s)
         expected = 0
         for s in set().union(*prefix.values()):
             who = [k for k in sets if s in prefix[k]]
-            if len(who) > 2 or (len(who) == 2 and (s in rank or min(rest(k, s) for k in who) >= similar.least_common(*(len(sets[k]) for k in who), 0.8))):
+            if len(who) > 2 or (len(who) == 2 and (rank[s] or min(rest(k, s) for k in who) >= similar.least_common(*(len(sets[k]) for k in who), 0.8))):
                 expected += len(who)
         got = {}
         for r in similar.shared_shingles(df, frequent, 10**5, 0.8, 5).collect():
@@ -232,8 +240,10 @@ def joined(spark, texts, **more):
     return groups(simhash.similar_documents(df, **more).collect())
 
 
-@pytest.mark.parametrize("more", [{}, {"block": 50, "stars": 0}])
-def test_links_of_a_template_group(spark, more):
+@pytest.mark.parametrize("more", [{}, {"block": 50, "stars": 0}, {"frequent": 0}])
+@pytest.mark.parametrize("crowd", [32, 2])
+def test_links_of_a_template_group(spark, monkeypatch, more, crowd):
+    monkeypatch.setattr(similar, "CROWD", crowd)
     rng = random.Random(11)
     template = ["t%d" % i for i in range(300)]
     texts = []
@@ -279,12 +289,12 @@ def test_parts_of_a_large_group_meet(spark):
         texts.append(" ".join(words))
     order = rng.sample(range(len(texts)), len(texts))
     texts = [texts[i] for i in order]
-    df = spark.createDataFrame([(1, i, 100, 0, i, 40, 5, i / 100) for i in range(40)], "shingle long, fp long, size long, place long, label long, n long, h0 long, d0 double")
+    df = spark.createDataFrame([(1, i, 100, 0, i, None, 40, 5, i / 100) for i in range(40)], "shingle long, fp long, size long, place long, label long, own binary, n long, h0 long, d0 double")
     pairs = [(r["a"], r["b"]) for r in similar.cross_pairs(df, 0, 0.8, 7).collect()]
     assert sorted(pairs) == sorted((i, j) for j in range(40) for i in range(j))
     pairs = [(r["a"], r["b"]) for r in similar.cross_pairs(df, 1, 0.8, 7).collect()]
     assert sorted(pairs) == sorted((i, j) for j in range(40) for i in range(j) if j - i <= 20)  # the rest by the triangle inequality
-    df = spark.createDataFrame([(1, i, 100, i, i, 40) for i in range(40)], "shingle long, fp long, size long, place long, label long, n long")
+    df = spark.createDataFrame([(1, i, 100, i, i, None, 40) for i in range(40)], "shingle long, fp long, size long, place long, label long, own binary, n long")
     pairs = [(r["a"], r["b"]) for r in similar.cross_pairs(df, 0, 0.8, 7).collect()]
     assert sorted(pairs) == sorted((i, j) for j in range(12) for i in range(j))  # what is left must be 89 of 100
     assert joined(spark, texts, block=7, stars=0) == expected_groups(texts) == [list(range(40))]
