@@ -152,12 +152,26 @@ def split(s: Column, sep: str | None = None, regex: bool = False) -> Column:
     return F.split(s, java_regex(sep) if regex else quote(sep), -1)
 
 
-#: Names of common pictographs.
-EMOJI = {"smile": 0x1F604, "grin": 0x1F600, "heart": 0x2764, "star": 0x2B50, "fire": 0x1F525, "check": 0x2705, "cross": 0x274C, "warning": 0x26A0, "rocket": 0x1F680, "thumbsup": 0x1F44D, "thumbsdown": 0x1F44E, "sun": 0x2600, "moon": 0x1F319, "cat": 0x1F431, "dog": 0x1F436, "tree": 0x1F333, "apple": 0x1F34E, "banana": 0x1F34C, "coffee": 0x2615, "beer": 0x1F37A, "bug": 0x1F41B, "gear": 0x2699, "lock": 0x1F512, "key": 0x1F511, "mail": 0x2709, "phone": 0x1F4DE, "clock": 0x1F552, "chart": 0x1F4C8, "money": 0x1F4B0, "flag": 0x1F6A9, "bell": 0x1F514, "book": 0x1F4D6, "bulb": 0x1F4A1, "eye": 0x1F441, "ghost": 0x1F47B, "globe": 0x1F30D, "poop": 0x1F4A9, "robot": 0x1F916, "skull": 0x1F480, "snake": 0x1F40D, "sparkle": 0x2728, "wave": 0x1F44B, "zap": 0x26A1}
+#: Names and their pictographs.
+_PICTOGRAPHS = """
+    anchor ⚓ ant 🐜 apple 🍎 apricot 🍑 art 🎨 avocado 🥑 banana 🍌 battery 🔋 bean 🫘 bee 🐝 beer 🍺 bell 🔔 bird 🐦 bomb 💣
+    book 📖 boom 💥 bread 🍞 broccoli 🥦 bug 🐛 burger 🍔 butterfly 🦋 cactus 🌵 cake 🎂 candy 🍬 carrot 🥕 cat 🐱 cheese 🧀
+    cherry 🍒 chestnut 🌰 chocolate 🍫 cloud ☁️ clover ☘️ coconut 🥥 coffee ☕ cookie 🍪 corn 🌽 crab 🦀 crown 👑 cucumber 🥒
+    date 🌴 diamond 💎 dice 🎲 dog 🐶 dolphin 🐬 donut 🍩 drum 🥁 earth 🌍 egg 🥚 eggplant 🍆 elderberry 🫐 fig 🍈 fire 🔥 fish 🐟
+    flag 🚩 flower 🌸 fox 🦊 frog 🐸 garlic 🧄 gear ⚙️ grape 🍇 guitar 🎸 hammer 🔨 heart ❤️ herb 🌿 honey 🍯 key 🔑 kiwi 🥝
+    leaf 🍃 lemon 🍋 lettuce 🥬 light 💡 lightning ⚡ lock 🔒 mango 🥭 map 🗺️ melon 🍈 microscope 🔬 milk 🥛 moon 🌙 mountain ⛰️
+    mushroom 🍄 music 🎵 octopus 🐙 onion 🧅 orange 🍊 owl 🦉 peach 🍑 peanut 🥜 pear 🍐 penguin 🐧 pepper 🌶️ pie 🥧 pineapple 🍍
+    pizza 🍕 popcorn 🍿 potato 🥔 puzzle 🧩 rainbow 🌈 rice 🍚 rocket 🚀 rose 🌹 salt 🧂 scroll 📜 shield 🛡️ shrimp 🦐 snail 🐌
+    snake 🐍 snow ❄️ spider 🕷️ star ⭐ strawberry 🍓 sun ☀️ sunflower 🌻 sushi 🍣 sword ⚔️ taco 🌮 tea 🍵 telescope 🔭
+    tomato 🍅 tornado 🌪️ tree 🌳 trophy 🏆 tulip 🌷 turtle 🐢 volcano 🌋 water 💧 watermelon 🍉 wave 🌊 whale 🐋 wind 💨 wine 🍷
+    wrench 🔧
+"""
+EMOJI = dict(zip(_PICTOGRAPHS.split()[::2], _PICTOGRAPHS.split()[1::2], strict=True))
 
 
 def emoji(name: Column) -> Column:
-    """The pictograph of a name, also in the plural; other text passes."""
-    table = F.create_map(*[F.lit(x) for k, v in EMOJI.items() for x in (k, chr(v))])
-    low = F.lower(name)
-    return F.coalesce(F.try_element_at(table, low), F.try_element_at(table, F.regexp_replace(low, "s$", "")), name)
+    """The pictograph of a name, whatever its case and surroundings, also in the plural; other text passes."""
+    table = F.create_map(*[F.lit(x) for pair in EMOJI.items() for x in pair])
+    low = F.lower(F.btrim(name, F.lit(" \t\n\x0b\f\r")))
+    plural = lambda end, least: F.when(low.endswith(end) & (F.length(low) > least), F.try_element_at(table, F.left(low, F.length(low) - len(end))))
+    return F.coalesce(F.try_element_at(table, low), plural("s", 2), plural("es", 3), name)

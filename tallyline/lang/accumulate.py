@@ -282,6 +282,17 @@ def end_plan(g: Gathering, spark: SparkSession) -> DataFrame:
     def bound(v: Value) -> Value:
         return Value(at[-1].bind(v.column), v.kind, v.has if v.has is None else at[-1].bind(v.has))
 
+    def quantile_of(n: Node, array: str) -> float | None:
+        """The percentage of a call that asks for a quantile of the array."""
+        if n.kind != "call" or not n.args[1] or n.args[1][0] != Node("var", (array,)):
+            return None
+        name, args = n.args[0], n.args[1]
+        if name in ("median", "med"):
+            return 50.0 if len(args) == 1 else None
+        if name in ("p", "percentile", "pct", "quantile", "q") and len(args) == 2 and args[1].kind == "num":
+            return args[1].args[0] * (100 if name in ("quantile", "q") else 1)
+        return None
+
     def statistic(name: str, args: list[Node]) -> Value | None:
         found = statistic_of(name, args)
         return None if found is None else bound(found)
@@ -296,11 +307,12 @@ def end_plan(g: Gathering, spark: SparkSession) -> DataFrame:
             return Value(table.select(F.count("*").cast("double")).scalar(), "num")
         if name in _STATISTICS and len(args) == 1:
             return Value(F.coalesce(table.select(_STATISTICS[name](v).cast("double")).scalar(), F.lit(0.0)), "num")
-        of = {"median": 50.0, "med": 50.0}.get(name) if len(args) == 1 else None
-        if name in ("p", "percentile", "pct", "quantile", "q") and len(args) == 2 and args[1].kind == "num":
-            of = args[1].args[0] * (100 if name in ("quantile", "q") else 1)
+        of = quantile_of(Node("call", (name, args)), array)
         if of is not None:
-            return Value(F.coalesce(aggregate.exact_quantiles(table.select(v.alias("x")), "x", {"q": of}).scalar(), F.lit(0.0)), "num")
+            # all quantiles of an array that END asks for are one plan, which runs once
+            wanted = sorted({of, *(q for n in g.tree.end for x in n.walk() if (q := quantile_of(x, array)) is not None)})
+            found = aggregate.exact_quantiles(table.select(v.alias("x")), "x", {f"q{k}": q for k, q in enumerate(wanted)})
+            return Value(F.coalesce(found.select(F.struct(*found.columns)).scalar()[f"q{wanted.index(of)}"], F.lit(0.0)), "num")
         if name == "iqm" and len(args) == 1:
             return Value(F.coalesce(aggregate.interquartile_mean(table.select(v.alias("x")), "x").select("iqm").scalar(), F.lit(0.0)), "num")
         return None

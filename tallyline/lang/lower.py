@@ -478,8 +478,14 @@ def distinct(tree: Tree, source: Source) -> DataFrame:
     scope.variables |= known
     low = Lowering(scope)
     rows = source.rows.select("*", *[low.value(k).str.alias(f"_k{i}") for i, k in enumerate(keys)])
-    first = Ordered(rows, "nr").first_seen(*[f"_k{i}" for i in range(len(keys))])
-    rule = Rule("always", (), tree.rules[0].body if tree.rules[0].body is not None else [Node("print", ([], None))])
+    body = tree.rules[0].body if tree.rules[0].body is not None else [Node("print", ([], None))]
+    whole = len(keys) == 1 and ungrouped(keys[0]) == Node("field", (Node("num", (0.0,)),)) and not source.columns and "value" in rows.columns
+    if whole and not any(n.kind == "var" or n.kind == "call" for s in body for n in s.walk()):
+        # the record is the key: nothing else of it has to be kept
+        first = Ordered(rows.select("nr", "value"), "nr").first_seen("value", alone=True)
+    else:
+        first = Ordered(rows, "nr").first_seen(*[f"_k{i}" for i in range(len(keys))])
+    rule = Rule("always", (), body)
     return stateless(Tree(tree.begin, rules=[rule], functions=tree.functions), Source(first, source.columns, source.fs, source.ofs, source.variables))
 
 

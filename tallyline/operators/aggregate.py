@@ -14,8 +14,7 @@ def frequency(rows: DataFrame, *keys: str) -> DataFrame:
 
 def shares(rows: DataFrame, *keys: str) -> DataFrame:
     """Counts and their percentage of all rows."""
-    counts = frequency(rows, *keys)
-    return counts.withColumn("pct", F.col("n") / F.sum("n").over(Window.partitionBy()) * 100)
+    return frequency(rows, *keys).withColumn("pct", F.col("n") / rows.select(F.count("*")).scalar() * 100)
 
 
 def concatenated(rows: DataFrame, keys: list[str], value: Column, order: str, sep: str = ",") -> DataFrame:
@@ -84,9 +83,9 @@ def exact_quantiles(rows: DataFrame, value: str, percents: dict[str, float], *ke
 
 
 def summary(value: Column) -> list[Column]:
-    """sum, mean, variance and stddev (population), min, max, median."""
+    """sum, mean, variance and stddev (population), min, max; the median is one of ``exact_quantiles``."""
     v = value.cast("double")
-    return [F.coalesce(F.sum(v), F.lit(0.0)).alias("sum"), F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(v), F.lit(0.0)).alias("variance"), F.coalesce(F.stddev_pop(v), F.lit(0.0)).alias("stddev"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.lit(0.5)).alias("median")]
+    return [F.coalesce(F.sum(v), F.lit(0.0)).alias("sum"), F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(v), F.lit(0.0)).alias("variance"), F.coalesce(F.stddev_pop(v), F.lit(0.0)).alias("stddev"), F.min(v).alias("min"), F.max(v).alias("max")]
 
 
 def interquartile_mean(rows: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -130,7 +129,7 @@ def histogram(rows: DataFrame, value: str, bins: int = 0, low: float | None = No
     at = F.least(F.greatest(F.floor((F.col(value).cast("double") - F.lit(start)) / F.lit(width)), F.lit(0)), F.lit(bins - 1)) + 1
     counts = rows.filter(F.col(value).isNotNull()).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     frame = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
-    return frame.join(F.broadcast(counts), "bin", "left").select("bin", (F.lit(start) + (F.col("bin") - 1) * width).alias("low"), (F.lit(start) + F.col("bin") * width).alias("high"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return frame.join(counts, "bin", "left").select("bin", (F.lit(start) + (F.col("bin") - 1) * width).alias("low"), (F.lit(start) + F.col("bin") * width).alias("high"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def normalised(rows: DataFrame, value: str, name: str = "norm") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import inputs, programs, relational, scalar  # noqa: F401  (each registers its queries)
+from . import inputs, programs, relational, scalar, tools  # noqa: F401  (each registers its queries)
 from .registry import ORACLES, QUERIES
 
 flagship = relational.flagship

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -181,39 +180,43 @@ def _stream(t: Tables, files_a_batch: int = 2) -> DataFrame:
     return stream.tables(t.spark, path, _EVENTS, files_a_batch)
 
 
-def _drained(t: Tables, out: DataFrame, mode: str) -> DataFrame:
-    return stream.drained(out, f"t{uuid.uuid4().hex}", mode, scratch(t.spark, "stream"))
+def _drained(t: Tables, out: DataFrame) -> DataFrame:
+    return stream.drained_to(out, scratch(t.spark, "streamed"), scratch(t.spark, "stream"))
+
+
+def _reported(t: Tables, out: DataFrame, *keys: str, mode: str = "update") -> DataFrame:
+    return stream.reported(out, list(keys), scratch(t.spark, "reports"), scratch(t.spark, "stream"), mode)
 
 
 @on_tables("stm_01_running_groups", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max FROM events GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return _drained(t, stream.running_groups(_stream(t), "event_type", "value"), "complete").withColumn("sum", F.round("sum", 4))
+    return _reported(t, stream.running_groups(_stream(t), "event_type", "value"), "event_type").withColumn("sum", F.round("sum", 4))
 
 
 @on_tables("stm_02_tumbling", "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS sum FROM events GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
     rows = _stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _drained(t, stream.tumbling(rows, "ts", "1 hour", "10 days", "event_type", value="value"), "complete")
+    out = _reported(t, stream.tumbling(rows, "ts", "1 hour", "10000 days", "event_type", value="value"), "window", "event_type")
     return out.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n", F.round("sum", 4).alias("sum"))
 
 
 @on_tables("stm_03_distinct", "SELECT DISTINCT user_id FROM events")
 def _(t: Tables) -> DataFrame:
     rows = _stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
-    return _drained(t, stream.distinct(rows, "ts", "10000 days", "user_id").select("user_id"), "append")
+    return _drained(t, stream.distinct(rows, "ts", "10000 days", "user_id").select("user_id"))
 
 
 @on_tables("stm_04_session_windows", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 2 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS f FROM events), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM s GROUP BY user_id, k")
 def _(t: Tables) -> DataFrame:
     rows = _stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _drained(t, stream.sessions(rows, "ts", "2 hours", "10000 days", "user_id"), "complete")
+    out = _reported(t, stream.sessions(rows, "ts", "2 hours", "10000 days", "user_id"), mode="complete")
     return out.select("user_id", F.unix_timestamp("session_window.start").alias("start"), "n")
 
 
 @on_tables("stm_05_sliding_windows", "SELECT CAST(s AS BIGINT) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT value, unnest([floor(epoch(ts) / 1800) * 1800, floor(epoch(ts) / 1800) * 1800 - 1800]) AS s FROM events) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     rows = _stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _drained(t, stream.sliding(rows, "ts", "1 hour", "30 minutes", "10000 days", value="value"), "complete")
+    out = _reported(t, stream.sliding(rows, "ts", "1 hour", "30 minutes", "10000 days", value="value"), "window")
     return out.select(F.unix_timestamp("window.start").alias("start"), "n", F.round("mean", 6).alias("mean"))
 
 
@@ -221,4 +224,15 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     rows = _stream(t, 100)  # files of one moment have no order, so they come in one batch
     out = stream.count_window(rows.select("user_id", "event_id", "value"), "user_id", "event_id", "value", 3)
-    return _drained(t, out, "append").select("user_id", "event_id", F.round("mean", 6).alias("mean"))
+    return _drained(t, out).select("user_id", "event_id", F.round("mean", 6).alias("mean"))
+
+
+@on_tables("stm_07_every", "SELECT event_id, value FROM events WHERE event_id % 100 = 0")
+def _(t: Tables) -> DataFrame:
+    return _drained(t, stream.every(_stream(t), 100, "event_id").select("event_id", "value"))
+
+
+@on_tables("stm_08_tumbling_by_count", "SELECT CAST(floor(event_id / 50) AS BIGINT) AS line, count(*) AS n, round(sum(value), 4) AS sum FROM events GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    groups = _stream(t).withColumn("line", F.floor(F.col("event_id") / 50))
+    return _reported(t, stream.running_groups(groups, "line", "value"), "line").select("line", "n", F.round("sum", 4).alias("sum"))

@@ -42,9 +42,9 @@ def _text(t: Tables, name: str, line: F.Column, rows: DataFrame) -> str:
     return path
 
 
-@on_tables("prg_c3_lookup", "SELECT o_orderkey || ' ' || o_custkey || ' ' || c_mktsegment AS line FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0")
+@on_tables("prg_c3_lookup", "SELECT o_orderkey || ' ' || o_custkey || ' ' || c_mktsegment AS line FROM orders JOIN customer ON o_custkey = c_custkey")
 def _(t: Tables) -> DataFrame:
-    one = _text(t, "customers", F.concat_ws(" ", "c_custkey", "c_mktsegment"), t.customer.filter("c_acctbal > 0"))
+    one = _text(t, "customers", F.concat_ws(" ", "c_custkey", "c_mktsegment"), t.customer)
     two = _text(t, "orders", F.concat_ws(" ", "o_orderkey", "o_custkey"), t.orders)
     return Program("NR == FNR { a[$1] = $2; next } ($2 in a) { print $0, a[$2] }").run(t.spark, [one, two]).lines
 

@@ -7,15 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce
 from ..operators import aggregate, joins, select, sets
-from ..operators.ordered import Ordered
+from ..operators.ordered import Ordered, placed
 from .registry import Tables, on_tables
 
-#: Small on purpose: the carry between buckets is at work at every scale.
-BUCKET_ROWS = 2000
-
-
-def ordered(rows: DataFrame, order: str) -> Ordered:
-    return Ordered(rows, order, BUCKET_ROWS)
+ordered = Ordered
 
 
 # --- projection -----------------------------------------------------------------------------------------------------
@@ -26,9 +21,9 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_name", "p_partkey")
 
 
-@on_tables("prj_02_named_projection", "SELECT c_name AS \"user-name\", c_mktsegment FROM customer WHERE c_acctbal > 5000")
+@on_tables("prj_02_named_projection", "SELECT c_name AS \"user-name\", c_mktsegment FROM customer")
 def _(t: Tables) -> DataFrame:
-    return t.customer.filter("c_acctbal > 5000").withColumnRenamed("c_name", "user-name").select(F.col("`user-name`"), "c_mktsegment")
+    return t.customer.withColumnRenamed("c_name", "user-name").select(F.col("`user-name`"), "c_mktsegment")
 
 
 @on_tables("prj_03_negative_index", "SELECT p_partkey, list_extract(string_split(p_name, ' '), -1) AS last_field, list_extract(string_split(p_type, ' '), 1) AS first_field FROM part")
@@ -155,23 +150,27 @@ def _(t: Tables) -> DataFrame:
 # --- joins ----------------------------------------------------------------------------------------------------------
 
 
-def _segments(t: Tables) -> DataFrame:
-    return joins.array_of(t.customer.filter("c_acctbal > 0"), "c_custkey", "c_mktsegment", "c_custkey")
+def _status(t: Tables) -> DataFrame:
+    """Each customer's last order's status; not every customer has ordered."""
+    return joins.array_of(t.orders, "o_custkey", "o_orderstatus", "o_orderkey")
+
 
+_STATUS = "(SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1)"
 
-@on_tables("jon_01_inner_lookup", "SELECT o_orderkey, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0")
+
+@on_tables("jon_01_inner_lookup", f"SELECT c_custkey, status FROM customer JOIN {_STATUS} ON o_custkey = c_custkey")
 def _(t: Tables) -> DataFrame:
-    return joins.lookup(t.orders, "o_custkey", _segments(t), "segment").select("o_orderkey", "segment")
+    return joins.lookup(t.customer, "c_custkey", _status(t), "status").select("c_custkey", "status")
 
 
-@on_tables("jon_02_left_default", "SELECT o_orderkey, coalesce(c_mktsegment, 'N/A') AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
+@on_tables("jon_02_left_default", f"SELECT c_custkey, coalesce(status, 'N/A') AS status FROM customer LEFT JOIN {_STATUS} ON o_custkey = c_custkey")
 def _(t: Tables) -> DataFrame:
-    return joins.lookup_or(t.orders, "o_custkey", _segments(t), "segment", F.lit("N/A")).select("o_orderkey", "segment")
+    return joins.lookup_or(t.customer, "c_custkey", _status(t), "status", F.lit("N/A")).select("c_custkey", "status")
 
 
-@on_tables("jon_03_semi", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+@on_tables("jon_03_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def _(t: Tables) -> DataFrame:
-    return joins.semi(t.orders, "o_custkey", _segments(t)).select("o_orderkey")
+    return joins.semi(t.customer, "c_custkey", _status(t)).select("c_custkey")
 
 
 @on_tables("jon_04_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -179,15 +178,15 @@ def _(t: Tables) -> DataFrame:
     return joins.anti(t.customer, "c_custkey", t.orders.select(F.col("o_custkey").alias("_key"))).select("c_custkey")
 
 
-@on_tables("jon_05_full_outer", "WITH a AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) SELECT coalesce(a.k, b.k) AS key, coalesce(a.n, 0) AS left_value, coalesce(b.n, 0) AS right_value FROM a FULL JOIN b ON a.k = b.k")
+@on_tables("jon_05_full_outer", "WITH a AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) SELECT coalesce(a.k, b.k) AS key, coalesce(a.n, 0) AS left_value, coalesce(b.n, 0) AS right_value FROM a FULL JOIN b ON a.k = b.k")
 def _(t: Tables) -> DataFrame:
     counts = lambda rows, k: rows.groupBy(F.col(k).alias("_key")).agg(F.count("*").alias("_value"))
-    return joins.full(counts(t.customer.filter("c_acctbal > 5000"), "c_nationkey"), counts(t.supplier.filter("s_acctbal > 5000"), "s_nationkey")).na.fill(0, ["left_value", "right_value"])
+    return joins.full(counts(t.customer, "c_nationkey"), counts(t.supplier, "s_nationkey")).na.fill(0, ["left_value", "right_value"])
 
 
-@on_tables("jon_06_update", "SELECT p_partkey, coalesce(b, p_brand) AS p_brand FROM part LEFT JOIN (SELECT l_partkey, 'sold' AS b FROM lineitem WHERE l_quantity = 50 GROUP BY 1) ON l_partkey = p_partkey")
+@on_tables("jon_06_update", "SELECT p_partkey, coalesce(b, p_brand) AS p_brand FROM part LEFT JOIN (SELECT l_partkey, 'sold' AS b FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
 def _(t: Tables) -> DataFrame:
-    sold = t.lineitem.filter("l_quantity = 50").select(F.col("l_partkey").alias("_key"), F.lit("sold").alias("_value")).distinct()
+    sold = t.lineitem.select(F.col("l_partkey").alias("_key"), F.lit("sold").alias("_value")).distinct()
     return joins.updated(t.part, "p_partkey", "p_brand", sold).select("p_partkey", "p_brand")
 
 
@@ -295,7 +294,8 @@ def _(t: Tables) -> DataFrame:
 @on_tables("agg_14_to_19_statistics", "SELECT event_type, round(sum(value), 4) AS sum, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance, round(stddev_pop(value), 6) AS stddev, min(value) AS min, max(value) AS max, round(median(value), 6) AS median FROM events GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     digits = {"sum": 4, "mean": 6, "variance": 4, "stddev": 6, "median": 6}
-    out = t.events.groupBy("event_type").agg(*aggregate.summary(F.col("value")))
+    medians = aggregate.exact_quantiles(t.events, "value", {"median": 50}, "event_type")
+    out = t.events.groupBy("event_type").agg(*aggregate.summary(F.col("value"))).join(medians, "event_type")
     return out.select("event_type", *[F.round(c, digits[c]).alias(c) if c in digits else c for c in ("sum", "mean", "variance", "stddev", "min", "max", "median")])
 
 
@@ -337,7 +337,8 @@ def _(t: Tables) -> DataFrame:
 
 @on_tables("agg_21_quantile", "SELECT round(quantile_cont(value, 0.1), 6) AS q10, round(quantile_cont(value, 0.9), 6) AS q90 FROM events")
 def _(t: Tables) -> DataFrame:
-    return t.events.agg(F.round(aggregate.percentile(F.col("value"), 10), 6).alias("q10"), F.round(aggregate.percentile(F.col("value"), 90), 6).alias("q90"))
+    found = aggregate.exact_quantiles(t.events, "value", {"q10": 10, "q90": 90})
+    return found.select(F.round("q10", 6).alias("q10"), F.round("q90", 6).alias("q90"))
 
 
 @on_tables("agg_22_iqm", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(avg(value) FILTER (WHERE rn >= greatest(ceil(0.25 * n), 1) AND rn <= floor(0.75 * n)), 6) AS iqm FROM r GROUP BY 1")
@@ -368,10 +369,9 @@ def _(t: Tables) -> DataFrame:
     return ordered(t.events, "event_id").running_sum(F.col("value"), "total").select("event_id", F.round("total", 4).alias("total"))
 
 
-@on_tables("win_02_sliding_window", "SELECT event_id, round(avg(value) OVER (ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS mean, least(row_number() OVER (ORDER BY event_id), 5) AS size FROM events WHERE value > 10")
+@on_tables("win_02_sliding_window", "SELECT event_id, round(avg(value) OVER (ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS mean, least(row_number() OVER (ORDER BY event_id), 5) AS size FROM events")
 def _(t: Tables) -> DataFrame:
-    accepted = t.events.filter("value > 10")
-    means = ordered(accepted, "event_id").moving(5, F.avg("value"), "mean")
+    means = ordered(t.events, "event_id").moving(5, F.avg("value"), "mean")
     return ordered(means, "event_id").moving(5, F.count("value"), "size").select("event_id", F.round("mean", 6).alias("mean"), "size")
 
 
@@ -462,12 +462,10 @@ _MODES = {"sort": "k", "rsort": "k DESC", "nsort": "CAST(regexp_extract(k, '[0-9
 
 def _sorted_by(mode: str):  # noqa: ANN202
     def run(t: Tables) -> DataFrame:
-        from pyspark.sql import Window
-
         counts = t.part.groupBy(F.col("p_brand").alias("k")).agg(F.count("*").alias("n"))
         number = F.regexp_extract("k", "[0-9]+", 0).cast("int")
         order = {"sort": ["k"], "rsort": [F.desc("k")], "nsort": [number, "k"], "rnsort": [number.desc(), "k"], "val": ["n", "k"], "rval": [F.desc("n"), "k"]}[mode]
-        return counts.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(*order)).cast("long"))
+        return placed(counts, *order)
 
     return run
 
@@ -478,11 +476,9 @@ for _mode, _order in _MODES.items():
 
 @on_tables("srt_04_smart_key_order", "SELECT k, row_number() OVER (ORDER BY TRY_CAST(k AS DOUBLE) NULLS LAST, k) AS place FROM (SELECT DISTINCT k FROM (SELECT CAST(p_size AS VARCHAR) AS k FROM part UNION ALL SELECT p_brand FROM part))")
 def _(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     keys = t.part.select(F.col("p_size").cast("string").alias("k")).union(t.part.select("p_brand")).distinct()
     order = F.when(coerce.looks_numeric(F.col("k")), coerce.to_number(F.col("k"))).asc_nulls_last()
-    return keys.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(order, "k")).cast("long"))
+    return placed(keys, order, "k")
 
 
 @on_tables("srt_05_reverse_lines", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) AS place FROM orders")
@@ -513,10 +509,15 @@ def _(t: Tables) -> DataFrame:
 
 @on_tables("lim_04_top_bottom", "SELECT p_brand, array_to_string(list_sort(list(p_size), 'DESC')[1:3], ' ') AS top, array_to_string(list_sort(list(p_size))[1:3], ' ') AS bottom FROM part GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    from ..functions import arrays
+    from pyspark.sql import Window
+
+    def few(name: str, order) -> DataFrame:  # noqa: ANN001
+        """Three sizes of each brand: no brand's sizes are gathered beyond that."""
+        ranked = t.part.withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy(order))).filter("r <= 3")
+        listed = F.array_sort(F.collect_list(F.struct("r", "p_size")))
+        return ranked.groupBy("p_brand").agg(F.array_join(F.transform(listed, lambda x: x["p_size"].cast("string")), " ").alias(name))
 
-    text = lambda a: F.array_join(a.cast("array<string>"), " ")
-    return t.part.groupBy("p_brand").agg(F.collect_list("p_size").alias("a")).select("p_brand", text(arrays.top(F.col("a"), 3)).alias("top"), text(arrays.bottom(F.col("a"), 3)).alias("bottom"))
+    return few("top", F.desc("p_size")).join(few("bottom", F.asc("p_size")), "p_brand")
 
 
 @on_tables("lim_04_top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")

@@ -315,9 +315,9 @@ def _(t: Tables) -> DataFrame:
     return _sizes(t).select("p_brand", _text(arrays.tidy(F.transform("a", lambda x: x % 3))).alias("u"))
 
 
-@on_tables("arr_04_collect", "SELECT user_id, string_agg(CAST(CAST(value AS INTEGER) AS VARCHAR), ' ' ORDER BY event_id) AS u FROM events WHERE value > 90 GROUP BY 1")
+@on_tables("arr_04_collect", "SELECT user_id, string_agg(CAST(CAST(value AS INTEGER) AS VARCHAR), ' ' ORDER BY event_id) AS u FROM events GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    rows = t.events.filter("value > 90").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.rint("value").cast("int").alias("v")))).alias("r"))
+    rows = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.rint("value").cast("int").alias("v")))).alias("r"))
     return rows.select("user_id", _text(F.transform("r", lambda x: x["v"])).alias("u"))
 
 

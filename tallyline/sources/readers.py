@@ -7,8 +7,13 @@ count from 1; a header isn't a record.
 
 from __future__ import annotations
 
+import io
+import itertools
+import lzma
 import re
+import tarfile
 from collections.abc import Iterator
+from typing import IO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,33 +41,29 @@ def _needs_python(paths: list[str]) -> bool:
 
 
 def _decoded(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """value: the lines of files whose codec Spark lacks, decoded in Python workers (one task a file)."""
+    """value: the lines of files whose codec Spark lacks, decoded in Python workers (one task a file).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-        import io
-        import lzma
-        import tarfile
+    The compressed file is one value, 2 GB at most; it is decoded as a stream, some lines at a time.
+    """
 
+    def opened(name: str, content: bytes) -> Iterator[IO[bytes]]:
+        if name.endswith((".xz", ".lzma")):
+            yield lzma.open(io.BytesIO(content))
+        elif name.endswith(".tgz"):
+            with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as tar:
+                yield from (tar.extractfile(m) for m in tar if m.isfile())
+        elif name.endswith(".lz4"):
+            yield io.BufferedReader(pa.input_stream(pa.BufferReader(content), compression="lz4"))
+        else:
+            yield io.BytesIO(content)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                name = path.lower()
-                if name.endswith((".xz", ".lzma")):
-                    data = lzma.decompress(content)
-                elif name.endswith(".tgz"):
-                    with tarfile.open(fileobj=io.BytesIO(gzip.decompress(content))) as tar:
-                        data = b"".join(tar.extractfile(m).read() for m in tar.getmembers() if m.isfile())
-                elif name.endswith(".lz4"):
-                    import lz4.frame
-
-                    data = lz4.frame.decompress(content)
-                else:
-                    data = content
-                lines = data.decode("utf-8", "replace").split("\n")
-                if lines and lines[-1] == "":
-                    lines.pop()
-                for at in range(0, len(lines), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array([x.removesuffix("\r") for x in lines[at : at + 10_000]], pa.string())], ["value"])
+                for file in opened(path.lower(), content):
+                    while some := list(itertools.islice(file, 10_000)):
+                        texts = [x.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace") for x in some]
+                        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
 
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "value string")
 

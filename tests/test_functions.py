@@ -57,7 +57,8 @@ def test_strings(spark):
     assert one(spark, strings.character(F.lit(9731))) == "☃"
     assert one(spark, strings.hexadecimal(F.lit(-1))) == "0xffffffffffffffff"
     assert one(spark, strings.trim(F.lit("\t x \n"))) == "x"
-    assert one(spark, strings.emoji(F.lit("apples"))) == "🍎"
+    for text, shown in (("whales", "🐋"), (" Torches", " Torches"), ("PEACHES", "🍑"), ("bus", "bus"), ("glass", "glass"), ("", "")):
+        assert one(spark, strings.emoji(F.lit(text))) == shown
 
 
 @pytest.mark.parametrize(("pattern", "replacement", "first", "every"), [("o", "0", "f0o boo", "f00 b00"), ("o+", "[&]", "f[oo] boo", "f[oo] b[oo]"), ("x", "y", "foo boo", "foo boo"), ("o", "\\&", "f&o boo", "f&& b&&"), ("^", ">", ">foo boo", ">foo boo"), ("o", "$1", "f$1o boo", "f$1$1 b$1$1")])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyline.operators import aggregate, select, sets
-from tallyline.operators.ordered import Ordered
+from tallyline.operators.ordered import Ordered, placed
 
 
 @pytest.fixture(scope="module")
@@ -128,3 +128,41 @@ def test_exact_quantiles(spark, accuracy):
             assert r[n] == pytest.approx(expected[r["g"]][n]), (r["g"], n)
     whole = aggregate.exact_quantiles(df, "v", {"m": 50}, accuracy=accuracy).first()["m"]
     assert whole == pytest.approx(df.agg(F.median("v")).first()[0])
+
+
+@pytest.mark.parametrize("bucket_rows", [100, 20])
+def test_buckets_of_a_skewed_order(spark, bucket_rows):
+    """Cut by rank: no bucket has over twice the rows of the median one, whatever the order's values."""
+    rng = random.Random(12)
+    keys = sorted({int(10 ** rng.uniform(0, 15)) for _ in range(4000)})
+    df = spark.createDataFrame([(k, float(i % 7)) for i, k in enumerate(keys)], "k long, v double").repartition(3)
+    cut = Ordered(df, "k", bucket_rows)
+    sizes = sorted(r["count"] for r in cut.bucketed.groupBy("_bucket").count().collect())
+    assert len(sizes) >= 30 and (bucket_rows < 100 or sizes[-1] <= 2 * sizes[len(sizes) // 2])
+    assert sizes[-1] <= 2 * len(keys) / 64 + bucket_rows
+    assert [r["nr"] for r in cut.numbered().orderBy("k").collect()] == list(range(1, len(keys) + 1))
+    total, sums = 0.0, []
+    for i in range(len(keys)):
+        total += i % 7
+        sums.append(total)
+    assert [r["t"] for r in cut.running_sum(F.col("v"), "t").orderBy("k").collect()] == sums
+
+
+def test_one_bucket_needs_no_carry(data):
+    rows, df = data
+    one, many = Ordered(df, "k"), ordered(df)
+    for f in (lambda o: o.numbered("x"), lambda o: o.running_sum(F.col("v"), "x"), lambda o: o.lag(F.col("c"), "x"), lambda o: o.lead(F.col("c"), "x"), lambda o: o.between(F.col("s"), F.col("e")).withColumn("x", F.col("k"))):
+        a, b = f(one), f(many)
+        assert a.dtypes == b.dtypes
+        assert a.orderBy("k").select("k", "x").collect() == b.orderBy("k").select("k", "x").collect()
+        assert "Join" not in a._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_placed(spark):
+    rng = random.Random(13)
+    names = ["".join(rng.choices("abcde", k=4)) for _ in range(500)]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "n string, i int").repartition(6)
+    got = {r["i"]: r["place"] for r in placed(df, F.desc("n"), "i").collect()}
+    expected = sorted(range(500), key=lambda i: ([-ord(c) for c in names[i]], i))
+    assert [got[i] for i in expected] == list(range(1, 501))
+    assert placed(df.limit(0), "n").count() == 0

@@ -2,8 +2,11 @@
 
 import bz2
 import gzip
+import io
 import lzma
+import tarfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyline.sources import readers, writers
@@ -37,7 +40,14 @@ def test_compression(spark, tmp_path):
     (tmp_path / "a.gz").write_bytes(gzip.compress(data))
     (tmp_path / "a.bz2").write_bytes(bz2.compress(data))
     (tmp_path / "a.xz").write_bytes(lzma.compress(data))
-    for name in ("a.gz", "a.bz2", "a.xz"):
+    with pa.output_stream(str(tmp_path / "a.lz4"), compression="lz4") as out:
+        out.write(data)
+    with tarfile.open(tmp_path / "a.tgz", "w:gz") as tar:
+        for name, part in (("x", b"one\r\n"), ("y", b"two")):
+            info = tarfile.TarInfo(name)
+            info.size = len(part)
+            tar.addfile(info, io.BytesIO(part))
+    for name in ("a.gz", "a.bz2", "a.xz", "a.lz4", "a.tgz"):
         assert sorted(values(readers.lines(spark, str(tmp_path / name)))) == ["one", "two"], name
 
 

@@ -19,7 +19,7 @@ def test_count_window_keeps_state(spark, tmp_path):
     batches = [[("a", 1, 1.0), ("b", 2, 10.0)], [("a", 3, 2.0), ("a", 4, 3.0)], [("b", 5, 20.0), ("a", 6, 4.0)]]
     arrive(spark, path, batches, "k string, o long, v double")
     out = stream.count_window(stream.tables(spark, path, "k string, o long, v double"), "k", "o", "v", 3)
-    got = {r["o"]: r["mean"] for r in stream.drained(out, "count_window_test", "append", str(tmp_path / "c")).collect()}
+    got = {r["o"]: r["mean"] for r in stream.drained_to(out, str(tmp_path / "out"), str(tmp_path / "c")).collect()}
     assert got == {1: 1.0, 2: 10.0, 3: 1.5, 4: 2.0, 5: 15.0, 6: 3.0}
 
 
@@ -30,7 +30,7 @@ def test_late_rows_are_dropped(spark, tmp_path):
         spark.range(1).select(at(s).alias("ts"), F.lit(1.0).alias("v")).write.mode("append").parquet(path)
         time.sleep(1.1)
     out = stream.tumbling(stream.tables(spark, path, "ts timestamp, v double"), "ts", "10 minutes", "5 minutes", value="v")
-    got = stream.drained(out, "late_test", "append", str(tmp_path / "c")).select(F.unix_timestamp("window.start").alias("s"), "n").collect()
+    got = stream.drained_to(out, str(tmp_path / "out"), str(tmp_path / "c")).select(F.unix_timestamp("window.start").alias("s"), "n").collect()
     assert {r["s"]: r["n"] for r in got} == {0: 1, 3600: 2}
 
 
@@ -39,3 +39,13 @@ def test_running_groups_to_files(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("x\ny\nx\n")
     out = stream.lines(spark, str(tmp_path / "in")).filter("value = 'x'")
     assert stream.drained_to(out, str(tmp_path / "out"), str(tmp_path / "c")).count() == 2
+
+
+def test_reports_of_each_batch(spark, tmp_path):
+    """The last report of each key counts, whichever batch made it."""
+    path = str(tmp_path / "in")
+    arrive(spark, path, [[("a", 1.0), ("b", 5.0)], [("a", 2.0)], [("c", 7.0)]], "k string, v double")
+    out = stream.running_groups(stream.tables(spark, path, "k string, v double"), "k", "v")
+    for mode in ("update", "complete"):
+        got = stream.reported(out, ["k"], str(tmp_path / mode), str(tmp_path / f"c{mode}"), mode).collect()
+        assert sorted((r["k"], r["n"], r["sum"], r["min"], r["max"]) for r in got) == [("a", 2, 3.0, 1.0, 2.0), ("b", 1, 5.0, 5.0, 5.0), ("c", 1, 7.0, 7.0, 7.0)]
