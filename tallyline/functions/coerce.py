@@ -45,21 +45,12 @@ def number_text(n: Column) -> Column:
 
 
 def _number_text(n: Column) -> Column:
-    short = F.regexp_replace(F.format_string("%.6f", n), r"\.?0+$", "")
-    millionths = F.rint(n * 1e6)
-    # a product too near to one half may be rounded to the wrong side
-    sure = (F.abs(n) < 9e6) & (F.abs(n * 1e6 - millionths) < 0.49)
-    digits = F.abs(millionths).cast("bigint")
-    fraction = F.rtrim(F.lpad((digits % 1_000_000).cast("string"), 6, "0"), F.lit("0"))
-    plain = F.concat(F.when(n < 0, "-").otherwise(""), F.call_function("div", digits, F.lit(1_000_000)).cast("string"), F.lit("."), fraction)
-    return (
-        F.when((n == F.floor(n)) & (F.abs(n) < 9.2e18), n.try_cast("bigint").cast("string"))
-        .when(sure & (digits % 1_000_000 != 0), plain)
-        .when(F.isnan(n), "nan")
-        .when(n == float("inf"), "inf")
-        .when(n == float("-inf"), "-inf")
-        .otherwise(short)
-    )
+    # doubles of this size are written without an exponent, and most have few decimals; few branches keep the code small
+    # enough to be compiled
+    exact = n.cast("string")
+    few = (F.abs(n) >= 1e-3) & (F.abs(n) < 9e6) & (F.length(exact) - F.instr(exact, ".") <= 6)
+    other = F.when(F.abs(n) < float("inf"), F.regexp_replace(F.format_string("%.6f", n), r"\.?0+$", "")).when(F.isnan(n), "nan").when(n > 0, "inf").otherwise("-inf")
+    return F.when((n == F.floor(n)) & (F.abs(n) < 9.2e18), n.try_cast("bigint").cast("string")).when(few, exact).otherwise(other)
 
 
 def truthy(value: Column, numeric: bool = False) -> Column:
