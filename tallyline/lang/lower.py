@@ -531,18 +531,8 @@ def first_file(r: Rule) -> bool:
     return p is not None and p.kind == "binary" and p.args[0] == "==" and (p.args[1], p.args[2]) in (same, same[::-1])
 
 
-def lookup(tree: Tree, source: Source, paths: int) -> DataFrame:
-    checked_end(tree)
-    if paths < 2 or len(tree.rules) < 2:
-        raise Unlowered("not two files")
-    first = tree.rules[0]
-    if not first_file(first) or not first.body or first.body[-1].kind != "next":
-        raise Unlowered("no array from the first file")
-    known = constants(tree, source)
-    scope = source.scope(tree)
-    scope.variables |= known
-    low = Lowering(scope)
-    build, probe = source.rows.filter("file = 0"), source.rows.filter("file > 0")
+def _from_first(first: Rule, low: Lowering, build: DataFrame) -> dict[str, DataFrame]:
+    """The arrays that the first file's rule makes: _k0, ... and _v, the last value or the count of each key."""
     arrays: dict[str, DataFrame] = {}
     for n in first.body[:-1]:
         e = ungrouped(n.args[0]) if n.kind == "expr" else None
@@ -556,6 +546,122 @@ def lookup(tree: Tree, source: Source, paths: int) -> DataFrame:
         else:
             made = F.count("*").cast("string")
         arrays[target.args[0]] = build.select("*", *keys).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(made.alias("_v"))
+    return arrays
+
+
+def _counting(n: Node) -> tuple[str, Node, Node, bool, list[Node]] | None:
+    """Variable, first and last value, direction and body of ``for (i = a; i <= b; i++)`` or the like downwards."""
+    if n.kind != "for" or any(part is None for part in n.args[:3]):
+        return None
+    start, test, step, block = n.args
+    made = ungrouped(start.args[0]) if start.kind == "expr" else None
+    turn = ungrouped(step.args[0]) if step.kind == "expr" else None
+    if made is None or made.kind != "assign" or made.args[0] or made.args[1].kind != "var" or turn is None or turn.kind != "step" or test.kind != "binary":
+        return None
+    name, up = made.args[1], turn.args[0] == "++"
+    if turn.args[2] != name or test.args[1] != name:
+        return None
+    op, end = test.args[0], test.args[2]
+    if op == ">" and not up and end == Node("num", (0.0,)):
+        op, end = ">=", Node("num", (1.0,))
+    return (name.args[0], made.args[2], end, up, block) if op == ("<=" if up else ">=") else None
+
+
+def by_number(tree: Tree, source: Source) -> DataFrame:
+    """``a[NR] = e`` in every record, and an END loop over the numbers, up or down, that prints the cells."""
+    if len(tree.rules) != 1 or tree.rules[0].kind != "always" or len(tree.rules[0].body or []) != 1 or len(tree.end) != 1:
+        raise Unlowered("not a cell a record")
+    n, one, number = tree.rules[0].body[0], Node("num", (1.0,)), Node("var", ("NR",))
+    e = ungrouped(n.args[0]) if n.kind == "expr" else None
+    found = _counting(tree.end[0])
+    if e is None or found is None or e.kind != "assign" or e.args[0] or e.args[1].kind != "index" or e.args[1].args[1] != [number]:
+        raise Unlowered("not a loop over records")
+    name, first, last, up, block = found
+    cell = Node("index", (e.args[1].args[0], [Node("var", (name,))]))
+    if (first, last) != ((one, number) if up else (number, one)) or block != [Node("print", ([cell], None))]:
+        raise Unlowered("not a loop over all records")
+    known = constants(tree, source)
+    scope = source.scope(tree)
+    scope.variables |= known
+    rows = source.rows
+    out = emitted(rows, [Lowering(scope).value(e.args[2]).str])
+    return out if up else out.withColumn("nr", -F.col("nr"))
+
+
+def field_lookup(tree: Tree, source: Source, paths: int) -> DataFrame:
+    """An array from the first file, and every field of other records replaced by its value where there is one.
+
+    Fields are looked up as rows, and each record is put together again from its own.
+    """
+    checked_end(tree)
+    if paths < 2 or len(tree.rules) != 2 or not first_file(tree.rules[0]) or not tree.rules[0].body or tree.rules[0].body[-1].kind != "next" or tree.rules[1].kind != "always" or source.columns:
+        raise Unlowered("not fields looked up")
+    body = tree.rules[1].body or []
+    found = _counting(body[0]) if len(body) == 2 and body[1] == Node("print", ([], None)) else None
+    if found is None or not found[3] or (found[1], found[2]) != (Node("num", (1.0,)), Node("var", ("NF",))) or len(found[4]) != 1:
+        raise Unlowered("not a loop over fields")
+    known = constants(tree, source)
+    scope = source.scope(tree)
+    scope.variables |= known
+    arrays = _from_first(tree.rules[0], Lowering(scope), source.rows.filter("file = 0"))
+    if len(arrays) != 1:
+        raise Unlowered("not one array")
+    (name, array), spot = next(iter(arrays.items())), Node("field", (Node("var", (found[0],)),))
+    value = Node("index", (name, [spot]))
+    if found[4][0] != Node("if", (Node("in", ([spot], name)), [Node("expr", (Node("assign", ("", spot, value)),))], [])) or len(array.columns) != 2:
+        raise Unlowered("not a lookup of the field")
+    rows = source.rows.filter("file > 0").select("nr", "value")
+    words = rows.select("nr", F.posexplode(split_by(F.col("value"), source.fs)).alias("_at", "_word"))
+    told = words.join(array, F.col("_word") == F.col("_k0"), "left")
+    listed = F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_v", "_word").alias("_new"))))
+    made = told.groupBy(F.col("nr").alias("_nr")).agg(F.max(F.col("_v").isNotNull()).alias("_hit"), F.array_join(F.transform(listed, lambda x: x["_new"]), source.ofs).alias("_line")).filter("_hit")
+    both = rows.join(made, F.col("nr") == F.col("_nr"), "left")
+    return emitted(both, [F.coalesce("_line", "value")])
+
+
+def running_count(tree: Tree, source: Source) -> DataFrame:
+    """``a[k] = e; n = 0; for (x in a) n++``: the number of distinct keys so far, in every record."""
+    checked_end(tree)
+    if len(tree.rules) != 1 or tree.rules[0].kind != "always" or len(tree.rules[0].body or []) < 4:
+        raise Unlowered("no running count")
+    cell, zero, loop, *rest = tree.rules[0].body
+    e = ungrouped(cell.args[0]) if cell.kind == "expr" else None
+    z = ungrouped(zero.args[0]) if zero.kind == "expr" else None
+    if e is None or e.kind not in ("assign", "step") or z is None or z.kind != "assign" or z.args[0] or z.args[1].kind != "var" or z.args[2] != Node("num", (0.0,)) or loop.kind != "forin":
+        raise Unlowered("no running count")
+    target, count = e.args[1] if e.kind == "assign" else e.args[2], z.args[1]
+    step = Node("expr", (Node("step", ("++", False, count)),))
+    if target.kind != "index" or len(target.args[1]) != 1 or loop.args[1] != target.args[0] or loop.args[3] != [step]:
+        raise Unlowered("no running count")
+    uses = [x for n in rest for x in n.walk() if x.kind in ("index", "in", "forin", "delete")]
+    if uses or count.args[0] in written_names(x for n in rest for x in n.walk()):
+        raise Unlowered("the array or its count is used elsewhere")
+    known = constants(tree, source)
+    scope = source.scope(tree)
+    scope.variables |= known
+    rows = source.numbered()
+    rows = rows.select("*", Lowering(scope).value(target.args[1][0]).str.alias("_key"))
+    rows = Ordered(rows, "nr").running_distinct("_key", "_count")
+    scope.variables[count.args[0]] = Value(F.col("_count").cast("double"), "num")
+    scope.unset = lambda name: literal("") if name not in SPECIAL else _unlowered(name)
+    state = State(scope, source.ofs, rows=rows)
+    through(state, [Rule("always", (), rest)], source.fs)
+    return emitted(state.rows, state.lines)
+
+
+def lookup(tree: Tree, source: Source, paths: int) -> DataFrame:
+    checked_end(tree)
+    if paths < 2 or len(tree.rules) < 2:
+        raise Unlowered("not two files")
+    first = tree.rules[0]
+    if not first_file(first) or not first.body or first.body[-1].kind != "next":
+        raise Unlowered("no array from the first file")
+    known = constants(tree, source)
+    scope = source.scope(tree)
+    scope.variables |= known
+    low = Lowering(scope)
+    build, probe = source.rows.filter("file = 0"), source.rows.filter("file > 0")
+    arrays = _from_first(first, low, build)
     rest = Tree(tree.begin, rules=tree.rules[1:], functions=tree.functions)
     if written_names(n for r in rest.rules for n in rule_nodes(r)) & set(arrays):
         raise Unlowered("the array changes later")

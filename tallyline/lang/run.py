@@ -114,6 +114,9 @@ class Program:
             "stateless": lambda s: lower.stateless(tree, s),
             "distinct": lambda s: lower.distinct(tree, s),
             "lookup": lambda s: lower.lookup(tree, s, paths),
+            "field lookup": lambda s: lower.field_lookup(tree, s, paths),
+            "by number": lambda s: lower.by_number(tree, s),
+            "running count": lambda s: lower.running_count(tree, s),
             "range": lambda s: lower.ranges(tree, s),
             "last": lambda s: lower.last_records(tree, s),
             "accumulate": lambda s: accumulated(tree, s, spark),

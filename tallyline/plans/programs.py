@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lang import Program
+from ..operators.ordered import placed
 from ..sources.scratch import scratch
 from ..sources.writers import write_lines
 from .registry import Tables, on_tables
@@ -66,3 +67,20 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     path = _text(t, "types", F.col("p_type"), t.part)
     return Program("{ for (i = 1; i <= NF; i++) a[$i]++ } END { for (k in a) print a[k], k }").run(t.spark, path).lines
+
+
+@on_tables("prg_field_lookup", "WITH w AS (SELECT p_partkey, i, list_extract(string_split(p_type, ' '), i) AS w FROM (SELECT p_partkey, p_type, unnest(range(1, len(string_split(p_type, ' ')) + 1)) AS i FROM part)) SELECT p_partkey || ' ' || string_agg(CASE w WHEN 'BRASS' THEN 'alloy' WHEN 'STEEL' THEN 'iron' ELSE w END, ' ' ORDER BY i) AS line FROM w GROUP BY p_partkey")
+def _(t: Tables) -> DataFrame:
+    words = t.spark.createDataFrame([("BRASS alloy",), ("STEEL iron",)], "line string")
+    one, two = _text(t, "metals", F.col("line"), words), _text(t, "types", F.concat_ws(" ", "p_partkey", "p_type"), t.part)
+    return Program("NR == FNR { m[$1] = $2; next } { for (i = 1; i <= NF; i++) if ($i in m) $i = m[$i]; print }").run(t.spark, [one, two]).lines
+
+
+@on_tables("prg_reversed", "SELECT row_number() OVER (ORDER BY o_orderkey DESC) || ' ' || o_orderkey AS line FROM orders")
+def _(t: Tables) -> DataFrame:
+    """The place of each line in the order of the output stands before it."""
+    found = Program("{ a[NR] = $o_orderkey } END { for (i = NR; i >= 1; i--) print a[i] }").on(t.spark, t.orders, "o_orderkey")
+    return placed(found.output, "nr", "place", name="_n").select(F.concat_ws(" ", "_n", "line").alias("line"))
+
+
+_program("prg_running_distinct", "SELECT event_id || ' ' || CAST(sum(f) OVER (ORDER BY event_id) AS BIGINT) AS line FROM (SELECT event_id, CASE WHEN event_id = min(event_id) OVER (PARTITION BY user_id) THEN 1 ELSE 0 END AS f FROM events)", "{ u[$user_id] = 1; n = 0; for (k in u) n++; print $event_id, n }", "events", "event_id")

@@ -77,15 +77,21 @@ PROGRAMS = [
     ("NF { print $0 \";\\n\" }", "gaps", "stateless", True),
     ("BEGIN { OFS = \" | \" } { print $2, $1 }", "tides", "stateless", True),
     ("function feet(m) { return m * 3.25 } { print feet($2) }", "tides", "stateless", True),
-    ("{ l[NR] = $0 } END { for (k = NR; k >= 1; k--) print l[k] }", "notes", "accumulate, then machine", True),
+    ("{ l[NR] = $0 } END { for (k = NR; k >= 1; k--) print l[k] }", "notes", "by number", True),
     ("ORS = NR % 4 ? \" \" : \"\\n\"", "birds", "machine", True),
-    ("{ met[$1] = 1; n = 0; for (b in met) n++; print n, NR }", "birds", "machine", True),
+    ("{ met[$1] = 1; n = 0; for (b in met) n++; print n, NR }", "birds", "running count", True),
+    ("{ far[$1]++; n = 0; for (p in far) n++; if (n > 2) print $2, n }", "tides", "running count", True),
+    ("{ l[NR] = $2 } END { for (k = 1; k <= NR; k++) print l[k] }", "tides", "by number", True),
+    ("{ l[NR] = NR \":\" $1 } END { for (k = NR; k > 0; k--) print l[k] }", "gaps", "by number", True),
+    ("{ met[$1] = 1; n = 0; for (b in met) n++; print n, met[$1] }", "birds", "machine", True),
     ("{ d[NR] = $1 } NR >= 3 { printf \"%.3f\\n\", (d[NR] + d[NR-1] + d[NR-2]) / 3 }", "depths", "ordered", True),
     ("{ d[NR] = $1 } { print d[NR], d[NR-5] }", "depths", "ordered", True),
     ("NR == 6 { print; exit }", "birds", "stateless", True),
     ("{ print $1 } /gannet/ { print \"over\"; exit } { print $1 }", "birds", "stateless", True),
     ("/puffin/ { print; exit } 1", "birds", "stateless", True),
-    ("NR == FNR { sea[$1] = $2; next } { for (j = 1; j <= NF; j++) if ($j in sea) $j = sea[$j]; print }", "seas notes", "machine", True),
+    ("NR == FNR { sea[$1] = $2; next } { for (j = 1; j <= NF; j++) if ($j in sea) $j = sea[$j]; print }", "seas notes", "field lookup", True),
+    ("BEGIN { OFS = \"-\" } NR == FNR { n[$1]++; next } { for (j = 1; j <= NF; j++) if ($j in n) $j = n[$j]; print }", "tides notes", "field lookup", True),
+    ("NR == FNR { sea[$1] = $2; next } { for (j = 2; j <= NF; j++) if ($j in sea) $j = sea[$j]; print }", "seas notes", "machine", True),
 ]
 
 
