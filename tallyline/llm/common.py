@@ -56,15 +56,24 @@ def discard(df: DataFrame | None) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Families that a worker keeps: those of one operator. Older ones go, so that stages don't add up in its memory.
+FAMILIES = 2
+
+
 def per_worker(family: str, version: str, build: Callable[[], Any]) -> Any:
     """``build()`` once for each Python worker process, whatever number of tasks it runs.
 
-    Workers outlive jobs: of each family only the version asked for last is kept.
+    Workers outlive jobs: only the ``FAMILIES`` used last are kept, each in the version asked for last.
     """
     kept = sys.__dict__.setdefault("_tallyline_kept", {})
     if kept.get(family, (None, None))[0] != version:
         kept.pop(family, None)
-        kept[family] = (version, build())
+        while len(kept) >= FAMILIES:
+            del kept[next(iter(kept))]
+        made = build()
+        kept[family] = (version, made)
+    elif next(reversed(kept)) != family:
+        kept[family] = kept.pop(family)
     return kept[family][1]
 
 
