@@ -22,6 +22,17 @@ class Column:
     name: str
     kind: str  # Int, Float, String
     samples: list[str] = field(default_factory=list)
+    distinct: int = 0  # of the values seen that aren't empty
+    seen: int = 0
+
+    @classmethod
+    def of(cls, name: str, values: list[str], kind: str | None = None) -> Column:
+        return cls(name, kind or kind_of(values), values[:3], len({v for v in values if v}), len(values))
+
+    @property
+    def groups(self) -> bool:
+        """Whether values come again, so that counting by them tells something."""
+        return self.seen <= 2 or self.distinct < self.seen
 
 
 @dataclass
@@ -80,7 +91,7 @@ def sniff(lines: list[str], kind: str | None = None) -> Schema:
         names = list(dict.fromkeys(k for r in rows for k in r))
         text = lambda v: v if isinstance(v, str) else json.dumps(v)
         values = {n: [text(r[n]) for r in rows if r.get(n) is not None] for n in names}
-        return Schema("json", True, [Column(n, kind_of(v), v[:3]) for n, v in values.items()])
+        return Schema("json", True, [Column.of(n, v) for n, v in values.items()])
     if kind in ("csv", "tsv"):
         rows = list(csv.reader(io.StringIO("\n".join(lines)), delimiter="," if kind == "csv" else "\t"))
     else:
@@ -92,7 +103,7 @@ def sniff(lines: list[str], kind: str | None = None) -> Schema:
     columns = []
     for i in range(max(width, len(names))):
         values = [r[i] for r in body if i < len(r)]
-        columns.append(Column(names[i] if i < len(names) else f"${i + 1}", kind_of(values), values[:3]))
+        columns.append(Column.of(names[i] if i < len(names) else f"${i + 1}", values))
     return Schema(kind, header, columns)
 
 
@@ -109,8 +120,8 @@ def describe(spark: SparkSession, path: str) -> Schema:
     if kind == "parquet":
         rows = spark.read.parquet(path)
         kinds = {"bigint": "Int", "int": "Int", "smallint": "Int", "tinyint": "Int", "double": "Float", "float": "Float"}
-        some = rows.limit(3).collect()
-        return Schema("parquet", True, [Column(n, kinds.get(k, "String"), [str(r[n]) for r in some]) for n, k in rows.dtypes])
+        some = rows.limit(SAMPLE).collect()
+        return Schema("parquet", True, [Column.of(n, [str(r[n]) for r in some], kinds.get(k, "String")) for n, k in rows.dtypes])
     lines = [r["value"] for r in readers.lines(spark, path).limit(SAMPLE).collect()]
     return sniff(lines, None if kind == "text" else kind)
 
@@ -120,10 +131,10 @@ def suggest(schema: Schema, path: str = "FILE") -> list[tuple[str, str]]:
     named = schema.header or schema.format == "parquet"
     place = {c.name: (f"${c.name}" if c.name.isidentifier() else f'$"{c.name}"') if named else f"${i}" for i, c in enumerate(schema.columns, 1)}
     numbers = [c for c in schema.columns if c.kind != "String"]
-    texts = [c for c in schema.columns if c.kind == "String"]
+    texts = [c for c in schema.columns if c.kind == "String" and c.groups]
     out = []
     if texts:
-        t = min(texts, key=lambda c: len(set(c.samples)))
+        t = min(texts, key=lambda c: c.distinct)
         sample = t.samples[0] if t.samples else ""
         out.append((f"rows where {t.name} is {sample!r}", f'{place[t.name]} == "{sample}"'))
         out.append((f"count by {t.name}", f"{{ n[{place[t.name]}]++ }} END {{ for (k in n) @rval print n[k], k }}"))

@@ -90,3 +90,10 @@ def test_charts(spark):
     assert boxed(["x"], "t")[0].startswith("┌─ t ─")
     assert plot(spark.createDataFrame([("a", 1)], "k string, n int"), "k", "n", 3).startswith("a | ███")
     assert bars([]) == []
+
+
+def test_suggestions_group_by_what_comes_again():
+    rows = ["boat,berth,crew"] + [f"boat{i},{'mole' if i % 2 else 'quay'},{i}" for i in range(9)]
+    said = [what for what, _ in suggest(sniff(rows))]
+    assert "count by berth" in said and not any("boat" in what for what in said)
+    assert not any(what.startswith("count by") for what, _ in suggest(sniff([f"x{i} {i}" for i in range(9)])))
