@@ -268,7 +268,8 @@ def winners(voted: DataFrame, share: float = SHARE) -> DataFrame:
 
 def extracted(pages: DataFrame, share: float = SHARE) -> DataFrame:
     """page_id, url, text of each page, from the paths that its host agrees on."""
-    agreed = winners(written(votes(pages), "page-votes"), share).withColumnRenamed("host", "_host")
+    # written, so that its size is known before the pages are read: a small one is broadcast, and no page is shuffled
+    agreed = written(winners(written(votes(pages), "page-votes"), share).withColumnRenamed("host", "_host"), "page-paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
