@@ -62,7 +62,8 @@ def path_of(url: Column) -> Column:
 
 def token_counts(parts: DataFrame, tokens: set[str]) -> dict[str, int]:
     """In how many rows of ``parts`` (column target) each of ``tokens`` occurs; as many rows as tokens at most."""
-    names = parts.sparkSession.createDataFrame([(t,) for t in sorted(tokens)], "token string")
+    # an Arrow table, whose size Spark knows: broadcast if that is small
+    names = parts.sparkSession.createDataFrame(pa.table({"token": pa.array(sorted(tokens), pa.string())}))
     seen = parts.select(F.explode(F.array_distinct(F.regexp_extract_all("target", F.lit(TOKEN.pattern), F.lit(0)))).alias("token"))
     return {r["token"]: r["n"] for r in seen.join(names, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n")).collect()}
 
