@@ -30,9 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import read_table, written
 from .components import components, with_components
-from .similar import similar_documents  # noqa: F401  the corpus pipeline's near-duplicates
 
 SEED = 42
 WORDS = 3
@@ -170,6 +170,14 @@ def links(distinct: DataFrame, plan: list[tuple[list[int], int]], radius: int =
     return pairs.union(spokes if radius % 2 == 0 else spokes.filter(near(F.col("a"), F.col("b")))).distinct()
 
 
+def linked(distinct: DataFrame, total: int, radius: int = RADIUS, sample: int = SAMPLE) -> DataFrame:
+    """``links`` of the ``total`` fingerprints ``distinct`` (fp), by the plan that suits them."""
+    share = min(1.0, sample / total)
+    chosen = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).select("fp").limit(2 * sample).toPandas()["fp"]
+    plan = plan_partitions(chosen.to_numpy(dtype=np.int64).view(np.uint64), total, radius)
+    return links(distinct, plan, radius)
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, sample: int = SAMPLE) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that can be reached over links) of each row.
 
@@ -183,10 +191,34 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, s
     total = nodes.count()
     if total == 0:
         return prints.withColumn("component_id", F.col("doc_id"))
-    share = min(1.0, sample / total)
-    chosen = nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).select("fp").limit(2 * sample).toPandas()["fp"]
-    plan = plan_partitions(chosen.to_numpy(dtype=np.int64).view(np.uint64), total, radius)
-    return with_components(prints, nodes, components(links(nodes.select("fp"), plan, radius), "simhash"))
+    return with_components(prints, nodes, components(linked(nodes.select("fp"), total, radius, sample), "simhash"))
+
+
+# --- texts alike by their shingles: the corpus pipeline's near-duplicates -----------------------------------------------
+
+
+def partners(marked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose texts have fingerprints that link, of ``marked`` (fp: a set, mark: a fingerprint).
+
+    Each set meets the first set of its fingerprint, and that one the first of the smallest fingerprint it links with.
+    """
+    nodes = written(marked.groupBy(F.col("mark").alias("fp")).agg(F.min("fp").alias("first")), "simhash-nodes")
+    if (total := nodes.count()) == 0:
+        return marked.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    own = marked.join(nodes.withColumnRenamed("fp", "mark"), "mark").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    near = linked(nodes.select("fp"), total).groupBy(F.greatest("a", "b").alias("fp")).agg(F.min(F.least("a", "b")).alias("least"))
+    first = lambda fp, name: nodes.select(F.col("fp").alias(fp), F.col("first").alias(name))
+    across = near.join(first("fp", "a"), "fp").join(first("least", "b"), "least").select("a", "b")
+    return own.union(across).filter("a != b").groupBy("a").agg(F.min("b").alias("b"))
+
+
+def similar_documents(docs: DataFrame, similarity: float = similar.SIMILAR, words: int = similar.SHINGLE, **effort: int) -> DataFrame:
+    """doc_id and component_id of each row, where texts link if their shingle sets are alike by ``similarity``.
+
+    Texts whose fingerprints link are compared whole and first; what fingerprints can't see at their radius, ``similar``
+    finds by prefixes of the sets, so every link counts. ``effort`` goes to it and changes no link.
+    """
+    return similar.similar_documents(docs, fingerprint, partners, similarity, words, **effort)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

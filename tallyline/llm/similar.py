@@ -11,9 +11,10 @@ the order puts rarer shingles first, by counts over all texts. Every pair that s
   (1 - Jaccard is a metric, so the triangle inequality holds), or
 * the sets, counted by classes of shingles or by 32 bits of each, can't have enough in common (bounds, not estimates).
 
-None of these loses a link. At first each text is compared with the one text that shares most shingles with it among
-the hubs of its shingles, so a large group of copies becomes one component with a comparison a text; only then all
-remaining pairs follow. Sets are equal if their 64-bit hashes are.
+None of these loses a link. At first each text is compared with the one that the caller's marks put beside it (``simhash``:
+fingerprints that link), then with the one text that shares most shingles with it among the hubs of its shingles, so a large
+group of copies becomes one component with a comparison a text; only then all remaining pairs follow, so links that marks
+miss are found as well. Sets are equal if their 64-bit hashes are.
 
 The counts are one shuffle of 4 bytes a shingle, the index one of 20 bytes for each shingle of a prefix, both packed in
 Python. The ``FREQUENT`` most frequent shingles, those in ``OFTEN`` sets or more, are sent to every executor; they don't
@@ -30,13 +31,13 @@ empty result; extra columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import discard, per_worker, sent, written
@@ -138,19 +139,21 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def set_keys(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, digest (of the text), fp (of the set), size and sketch of each row."""
+def set_keys(docs: DataFrame, words: int, mark: Callable[[bytes], int]) -> DataFrame:
+    """doc_id, digest and mark (of the text, 64 bits), fp (of the set), size and sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            sets = [shingles_of(t.as_py() or b"", words) for t in batch.column(2).cast(pa.binary())]
+            texts = batch.column(2).cast(pa.binary())
+            sets = [shingles_of(t.as_py() or b"", words) for t in texts]
+            marks = np.array([mark(t.as_py() or b"") for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch_of(s).tobytes() for s in sets], pa.binary())],
-                ["doc_id", "digest", "fp", "size", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(marks), pa.array([key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch_of(s).tobytes() for s in sets], pa.binary())],
+                ["doc_id", "digest", "mark", "fp", "size", "sketch"],
             )
 
     rows = _texts(docs).select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    return rows.mapInArrow(run, "doc_id long, digest long, fp long, size long, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, digest long, mark long, fp long, size long, sketch binary")
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,13 +432,14 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.groupBy("fp").agg(F.first("text").alias("text"))  # rows may be repeated
 
 
-def similar_documents(docs: DataFrame, similarity: float = SIMILAR, words: int = SHINGLE, frequent: int = FREQUENT, block: int = BLOCK, stars: int = STARS) -> DataFrame:
+def similar_documents(docs: DataFrame, mark: Callable[[bytes], int], partners: Callable[[DataFrame], DataFrame], similarity: float = SIMILAR, words: int = SHINGLE, frequent: int = FREQUENT, block: int = BLOCK, stars: int = STARS) -> DataFrame:
     """doc_id and component_id (the smallest doc_id that can be reached over links) of each row, where texts link if
     their sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``.
 
-    ``frequent``, ``block`` and ``stars`` change the effort only, never the links.
+    ``mark`` gives 64 bits of a text, and ``partners`` of a table of sets and marks (fp, mark) the pairs (a, b) of sets to
+    compare first, each a once at most. These, ``frequent``, ``block`` and ``stars`` change the effort only, never the links.
     """
-    prints = written(set_keys(docs, words), "similar")
+    prints = written(set_keys(docs, words, mark), "similar")
     nodes = written(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.min("doc_id").alias("first_doc"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "similar-nodes")
     told = nodes.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("size") * (1 - similarity)).cast("long") + 1), F.lit(0)).alias("entries"), F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()
     if told["n"] == 0:
@@ -458,15 +462,9 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILAR, words: int =
         discard(old)
         return left
 
-    for k in range(stars):
-        now = labelled()
-        hubs = now.groupBy("shingle").agg(F.min(F.struct(F.floor(F.col("place") / F.col("size") * 20).alias("step"), F.xxhash64("fp", F.lit(k)).alias("drawn"), "fp", "size", "place", "label")).alias("hub"))
-        both = F.least(F.col("size") - F.col("place"), F.col("hub.size") - F.col("hub.place")) >= least_common(F.col("size"), F.col("hub.size"), similarity)
-        ask = now.join(hubs, "shingle").filter((F.col("label") != F.col("hub.label")) & both)
-        for other in tried:  # not the same text again
-            ask = ask.join(other.select("fp", F.col("h").alias("_h")), "fp", "left").filter(F.col("_h").isNull() | (F.col("_h") != F.col("hub.fp"))).drop("_h")
-        votes = ask.groupBy("fp", F.col("hub.fp").alias("hub"), F.col("hub.drawn").alias("drawn")).agg(F.count("*").alias("n"))
-        best = votes.groupBy("fp").agg(F.max(F.struct("n", "drawn", "hub")).alias("best")).select(F.col("fp").alias("a"), F.col("best.hub").alias("b"))
+    def compare(best: DataFrame) -> Row:
+        """Compares the pairs (a, b) whole and joins those that link; n and hits: how many pairs and links there were."""
+        nonlocal links, root
         asked = written(possible(best, nodes, similarity), "similar-asked")
         found = written(compared(asked, texts, similarity, words), "similar-compared")
         discard(asked)
@@ -477,6 +475,19 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILAR, words: int =
             links = more if links is None else links.union(more)
             old, root = root, components(links, "similar")
             discard(old)
+        return told
+
+    compare(partners(prints.filter("size > 0").select("fp", "mark").distinct()))
+    for k in range(stars):
+        now = labelled()
+        hubs = now.groupBy("shingle").agg(F.min(F.struct(F.floor(F.col("place") / F.col("size") * 20).alias("step"), F.xxhash64("fp", F.lit(k)).alias("drawn"), "fp", "size", "place", "label")).alias("hub"))
+        both = F.least(F.col("size") - F.col("place"), F.col("hub.size") - F.col("hub.place")) >= least_common(F.col("size"), F.col("hub.size"), similarity)
+        ask = now.join(hubs, "shingle").filter((F.col("label") != F.col("hub.label")) & both)
+        for other in tried:  # not the same text again
+            ask = ask.join(other.select("fp", F.col("h").alias("_h")), "fp", "left").filter(F.col("_h").isNull() | (F.col("_h") != F.col("hub.fp"))).drop("_h")
+        votes = ask.groupBy("fp", F.col("hub.fp").alias("hub"), F.col("hub.drawn").alias("drawn")).agg(F.count("*").alias("n"))
+        best = votes.groupBy("fp").agg(F.max(F.struct("n", "drawn", "hub")).alias("best")).select(F.col("fp").alias("a"), F.col("best.hub").alias("b"))
+        told = compare(best)
         if told["n"] < 100 or told["hits"] * 4 < told["n"]:
             break
 

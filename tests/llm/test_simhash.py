@@ -298,3 +298,26 @@ def test_parts_of_a_large_group_meet(spark):
     pairs = [(r["a"], r["b"]) for r in similar.cross_pairs(df, 0, 0.8, 7).collect()]
     assert sorted(pairs) == sorted((i, j) for j in range(12) for i in range(j))  # what is left must be 89 of 100
     assert joined(spark, texts, block=7, stars=0) == expected_groups(texts) == [list(range(40))]
+
+
+def test_similar_documents_go_through_fingerprints(spark, monkeypatch):
+    """Texts whose fingerprints link are what is compared first; links that fingerprints miss are found all the same."""
+    rng = random.Random(15)
+    texts = []
+    for _ in range(25):
+        words = ["w%d" % rng.randrange(10**6) for _ in range(400)]
+        texts += [" ".join(words), " ".join([*words[:200], "other", *words[201:]]), " ".join(words + ["a%d" % rng.randrange(10**6) for _ in range(70)])]
+    bits = {similar.key_of(similar.shingles_of(t.encode())): slow_fingerprint(t) for t in texts}
+    apart = lambda a, b: (bits[a] ^ bits[b]).bit_count()
+    calls, compared = [], similar.compared
+    monkeypatch.setattr(similar, "compared", lambda pairs, *more: calls.append([(r["a"], r["b"]) for r in pairs.collect()]) or compared(pairs, *more))
+    assert joined(spark, texts, stars=0) == expected_groups(texts) == [[3 * i, 3 * i + 1, 3 * i + 2] for i in range(25)]
+    assert len(calls[0]) > 5 and all(apart(a, b) <= simhash.RADIUS for a, b in calls[0])
+    assert any(apart(a, b) > simhash.RADIUS for a, b in calls[-1])  # found by prefixes
+
+
+def test_partners(spark):
+    rows = [(1, 0b0000), (2, 0b0000), (3, 0b0011), (4, 0b1111), (5, 0b1111 << 40), (2, 0b1111 << 50)]
+    pairs = simhash.partners(spark.createDataFrame(rows, "fp long, mark long")).collect()
+    assert sorted((r["a"], r["b"]) for r in pairs) == [(2, 1), (3, 1), (4, 3)]
+    assert simhash.partners(spark.createDataFrame([], "fp long, mark long")).count() == 0
