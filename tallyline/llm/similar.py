@@ -254,11 +254,11 @@ def frequent_shingles(docs: DataFrame, total: int, words: int, frequent: int = F
         if held > frequent:
             least = r["step"] + 1
             break
-    rows = counted.filter(step >= least).toPandas()
+    rows = counted.filter(step >= least).toArrow()  # columns: a million rows as objects would fill the driver
     discard(counted)
-    codes = rows["code"].to_numpy(dtype=np.int64).view(np.uint64)
+    codes = rows.column("code").to_numpy().view(np.uint64)
     order = np.argsort(codes)
-    return Frequent(codes[order], rows["n"].to_numpy(dtype=np.int64)[order], buckets)
+    return Frequent(codes[order], rows.column("n").to_numpy()[order], buckets)
 
 
 def shared_shingles(docs: DataFrame, frequent: Frequent, entries: int, similarity: float, words: int) -> DataFrame:

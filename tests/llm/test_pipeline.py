@@ -109,3 +109,26 @@ def test_empty_documents(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
     assert docs.count() == 0
+
+
+def test_workers_get_small_batches(spark, folder, monkeypatch):
+    """However many rows a partition has, few whole texts are in a worker at a time; the session's setting stays."""
+    import pyarrow as pa
+
+    from tallyline.llm import simhash
+
+    sizes, before = [], spark.conf.get(corpus_pipeline.BATCH)
+
+    def spy(docs):
+        seen = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+        sizes.extend(r["n"] for r in seen.collect())
+        return docs.selectExpr("doc_id", "doc_id AS component_id")
+
+    monkeypatch.setattr(simhash, "similar_documents", spy)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    assert dict(corpus_pipeline.STAGES)["near-duplicates"](spark, docs, folder).count() == 3000
+    assert sum(sizes) == 3000 and max(sizes) <= int(corpus_pipeline.ROWS) and spark.conf.get(corpus_pipeline.BATCH) == before
+    monkeypatch.setattr(simhash, "similar_documents", lambda docs: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        dict(corpus_pipeline.STAGES)["near-duplicates"](spark, docs, folder)
+    assert spark.conf.get(corpus_pipeline.BATCH) == before
