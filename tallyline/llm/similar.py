@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import discard, per_worker, sent, written
+from .common import discard, per_worker, sent, tidy, written
 from .components import components, with_components
 
 SEED = 42
@@ -448,6 +448,7 @@ def similar_documents(docs: DataFrame, mark: Callable[[bytes], int], partners: C
     members = written(shared_shingles(docs, known, told["entries"], similarity, words), "similar-members")
     wanted = nodes.join(members.select("fp").distinct(), "fp", "left_semi")
     texts = written(texts_of(docs, wanted), "similar-texts")
+    tidy(docs.sparkSession)
 
     links, root, left, tried = None, None, None, []
 
@@ -475,6 +476,7 @@ def similar_documents(docs: DataFrame, mark: Callable[[bytes], int], partners: C
             links = more if links is None else links.union(more)
             old, root = root, components(links, "similar")
             discard(old)
+        tidy(docs.sparkSession)
         return told
 
     compare(partners(prints.filter("size > 0").select("fp", "mark").distinct()))
@@ -502,6 +504,7 @@ def similar_documents(docs: DataFrame, mark: Callable[[bytes], int], partners: C
     found = written(compared(asked, texts, similarity, words), "similar-compared")
     for old in (asked, left, members, texts):
         discard(old)
+    tidy(docs.sparkSession)
     more = found.filter("linked").select("a", "b")
     if more.limit(1).count():
         old, root = root, components(more if links is None else links.union(more), "similar")
