@@ -1,8 +1,11 @@
 """What workers keep, what is freed, and how values reach executors."""
 
 import os
+import re
 import sys
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyline.llm import common
@@ -43,3 +46,27 @@ def test_values_reach_executors(spark):
             yield batch.set_column(0, "id", [value + v.as_py() for v in batch.column(0)])
 
     assert sorted(r["id"] for r in spark.range(3).mapInArrow(run, "id long").collect()) == [5, 6, 7]
+
+
+def test_tidy_gives_back_memory_outside_the_heap(spark):
+    """Freed blocks below one that is still held: the C library gives these back only if told to."""
+    platform = spark._jvm.org.apache.spark.unsafe.Platform
+    rollup = Path(f"/proc/{spark._jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+    if not rollup.exists():
+        pytest.skip("memory can't be read here")
+    held = lambda: int(re.search(r"Anonymous:\s+(\d+)", rollup.read_text())[1]) / 1024
+    for _ in range(2):
+        spark._jvm.System.gc()
+    size = 100_000
+    blocks = [platform.allocateMemory(size) for _ in range(1500)]
+    for b in blocks:
+        platform.copyMemory(None, b, None, b + size // 2, size // 2)
+    full = held()
+    for b in blocks[:-1]:
+        platform.freeMemory(b)
+    spark._jvm.System.gc()
+    freed = held()
+    common.tidy(spark)
+    after = held()
+    platform.freeMemory(blocks[-1])
+    assert after < freed - 40, (full, freed, after)
