@@ -109,6 +109,13 @@ def test_fixed_rounds_the_exact_value(spark):
         assert [(r["x"], r["s"]) for r in rows] == [(r["x"], f"%.{p}f" % r["x"]) for r in rows]
 
 
+@pytest.mark.parametrize("fmt", ["%.2f", "%6.1f", "%f", "%+.0f", "%07.2f", "%-8.1f|", "%.10f"])
+def test_fixed_keeps_the_sign_of_zero(spark, fmt):
+    xs = [-0.0, 0.0, -0.001, 0.001, -5e-324]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1).select(printf.format_columns(fmt, F.col("x")).alias("s")).collect()
+    assert [r["s"] for r in rows] == [fmt % x for x in xs]
+
+
 def test_dates(spark):
     ts = dates.timestamp(F.lit(1_709_210_096))  # 2024-02-29 12:34:56
     assert one(spark, dates.strftime("%Y-%m-%d %H:%M:%S %j %a %p %%", ts)) == "2024-02-29 12:34:56 060 Thu PM %"
