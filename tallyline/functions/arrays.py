@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from .coerce import looks_numeric, to_number, truthy
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once, not for each element of the lambdas in the body."""
+    return F.transform(F.array(value), body)[0]
+
+
 def uniq(a: Column) -> Column:
     """Distinct values, the first of each kept."""
     return F.array_distinct(a)
@@ -76,15 +81,34 @@ def bottom(a: Column, n: int) -> Column:
 
 
 def runtotal(a: Column) -> Column:
-    """Cumulative sums."""
-    step = lambda s, x: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)) + x))
-    return F.aggregate(a.cast("array<double>"), F.array().cast("array<double>"), step)
+    """Cumulative sums, added in order; a null stays, and the sums begin anew after it.
+
+    In Arrow batches: an array that a lambda carries on is copied for each element, which takes the square of its size.
+    """
+
+    @F.arrow_udf("array<double>")
+    def run(lists):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        def sums(x):  # noqa: ANN001, ANN202
+            if not x.null_count:
+                return np.cumsum(x.to_numpy(zero_copy_only=False)) + 0.0
+            out, last = [], 0.0
+            for v in x.to_pylist():
+                out.append(None if v is None else last + v)
+                last = out[-1] or 0.0
+            return out
+
+        return pa.array([sums(x.values) if x.is_valid else None for x in lists], pa.list_(pa.float64()))
+
+    return run(a.cast("array<double>"))
 
 
 def norm(a: Column) -> Column:
     """To 0..1; 0 where all values are equal."""
-    low, high = F.array_min(a), F.array_max(a)
-    return F.transform(a, lambda x: F.when(high == low, F.lit(0.0)).otherwise((x - low) / F.nullif(high - low, F.lit(0.0))))
+    scaled = lambda e: F.transform(a, lambda x: F.when(e["high"] == e["low"], F.lit(0.0)).otherwise((x - e["low"]) / F.nullif(e["high"] - e["low"], F.lit(0.0))))
+    return _bound(F.struct(F.array_min(a).alias("low"), F.array_max(a).alias("high")), scaled)
 
 
 def diff(a: Column, b: Column) -> Column:

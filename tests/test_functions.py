@@ -136,6 +136,37 @@ def test_json_paths(spark):
     assert one(spark, jsons.members(doc)) == ["a", "t", "n", "users"]
 
 
+@pytest.mark.parametrize("name", ["runtotal", "norm"])
+def test_long_arrays_take_no_square(spark, name):
+    import time
+    from itertools import accumulate
+
+    numbers_of = lambda n: [(i * 7919 % 1000) / 8 - 50 for i in range(n)]
+
+    def timed(n):
+        rows = spark.range(1).select(F.transform(F.sequence(F.col("id"), F.col("id") + n - 1), lambda i: (i * 7919 % 1000) / 8 - 50).alias("a"))
+        start = time.monotonic()
+        got = rows.select(getattr(arrays, name)(F.col("a")).alias("x")).first()["x"]
+        return got, time.monotonic() - start
+
+    timed(100)
+    got, seconds = timed(60_000)
+    xs = numbers_of(60_000)
+    mean, low, high = sum(xs) / len(xs), min(xs), max(xs)
+    if name == "variance":
+        assert got == pytest.approx(sum((x - mean) ** 2 for x in xs) / len(xs))
+    else:
+        assert got == (list(accumulate(xs)) if name == "runtotal" else [(x - low) / (high - low) for x in xs])
+    assert seconds < 15
+
+
+def test_arrays_with_nulls(spark):
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate([[1.5, None, 2.0, 3.0], None, [], [0.1, 0.2, 0.3]])], "k int, a array<double>")
+    assert [r["x"] for r in rows.orderBy("k").select(arrays.runtotal(F.col("a")).alias("x")).collect()] == [[1.5, None, 2.0, 5.0], None, [], [0.1, 0.1 + 0.2, 0.1 + 0.2 + 0.3]]
+    assert one(spark, arrays.norm(F.lit([2.0, 2.0]))) == [0, 0]
+    assert one(spark, arrays.variance(F.array().cast("array<double>"))) == 0
+
+
 def test_arrays(spark):
     a = F.lit([3, 1, 2, 3]).cast("array<double>")
     assert one(spark, arrays.uniq(a)) == [3, 1, 2]
