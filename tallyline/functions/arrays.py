@@ -148,8 +148,8 @@ def mean(a: Column) -> Column:
 
 def variance(a: Column) -> Column:
     """Population variance."""
-    m = mean(a)
-    return F.when(F.size(a) > 0, F.aggregate(a.cast("array<double>"), F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.nullif(F.size(a), F.lit(0))).otherwise(0.0)
+    squares = _bound(mean(a), lambda m: F.aggregate(a.cast("array<double>"), F.lit(0.0), lambda s, x: s + (x - m) * (x - m)))
+    return F.when(F.size(a) > 0, squares / F.nullif(F.size(a), F.lit(0))).otherwise(0.0)
 
 
 def percentile(a: Column, p: float) -> Column:

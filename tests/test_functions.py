@@ -136,7 +136,7 @@ def test_json_paths(spark):
     assert one(spark, jsons.members(doc)) == ["a", "t", "n", "users"]
 
 
-@pytest.mark.parametrize("name", ["runtotal", "norm"])
+@pytest.mark.parametrize("name", ["runtotal", "norm", "variance"])
 def test_long_arrays_take_no_square(spark, name):
     import time
     from itertools import accumulate
