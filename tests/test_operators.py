@@ -130,6 +130,20 @@ def test_exact_quantiles(spark, accuracy):
     assert whole == pytest.approx(df.agg(F.median("v")).first()[0])
 
 
+def test_exact_quantiles_sort_no_group(spark):
+    df = spark.range(2000).select((F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(997)).cast("double").alias("v"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = aggregate.exact_quantiles(df, "v", {"p95": 95, "p25": 25}, "g", accuracy=20)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        expected = df.groupBy("g").agg(aggregate.percentile(F.col("v"), 95).alias("p95"), aggregate.percentile(F.col("v"), 25).alias("p25"))
+        assert sorted(got.collect()) == sorted(expected.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 @pytest.mark.parametrize("bucket_rows", [100, 20])
 def test_buckets_of_a_skewed_order(spark, bucket_rows):
     """Cut by rank: no bucket has over twice the rows of the median one, whatever the order's values."""
